@@ -400,12 +400,14 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT category, coalesce(1.0 / hits[1], 0) AS rr, (coalesce(hits[1], 99) <= 1)::INT::DOUBLE AS h1, (coalesce(hits[1], 99) <= 3)::INT::DOUBLE AS h3, (coalesce(hits[1], 99) <= 5)::INT::DOUBLE AS h5 FROM r)
     SELECT coalesce(category, '(all)') AS category, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(h1), 6) AS hit_at_1, round(avg(h3), 6) AS hit_at_3, round(avg(h5), 6) AS hit_at_5 FROM s GROUP BY ROLLUP (category)""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions are benchmark items; a document is expected that holds the item's text. Candidates meet by their
-    words 2 to 7, which stand whole in any text that holds the item."""
+    """Questions are benchmark items; a document is expected that holds the item's text. Candidates meet by the rarest
+    token of the item's inner words, which any text that holds the item has."""
     d, q = _t(spark, sf_dir, "documents"), _questions(spark, sf_dir)
-    key = lambda w, i: F.array_join(F.slice(w, i, 6), " ")
-    docs = d.where("text is not null").select("doc_id", "text", T.words(F.col("text")).alias("w")).withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(key(F.col("w"), i))))))
-    want = docs.select("doc_id", "text", "k").join(q.select("question_id", "question", F.xxhash64(key(T.words(F.col("question")), 2)).alias("k")), "k").where(F.contains("text", F.col("question")))
+    w = T.words(F.col("question"))
+    inner = q.select("question_id", "question", F.explode(T.tokens(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))).alias("token"))
+    post = R.postings(d)
+    rarest = inner.join(post.groupBy("token").count(), "token").groupBy("question_id", "question").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
+    want = rarest.join(post.select("token", "doc_id"), "token").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question")))
     want = want.groupBy("question_id").agg(F.collect_set("doc_id").alias("expected"))
     got = R.bm25_top_k(d, q, 25).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
     category = F.when(F.col("question_id") % 3 > 0, F.format_string("c%d", F.col("question_id") % 3))

@@ -114,9 +114,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last one. Rows that repeat both id and text are told apart by nth. Random numbers come from ids and texts,
     so reruns agree. An empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
-    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("size"), *row_key())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    size = F.coalesce(F.regexp_count("text", F.lit(_WORDS)), F.lit(0)).cast("long")
+    rows = rows.select("doc_id", "source", size.alias("size"), *row_key())
     rows = materialize(rows.withColumn("nth", F.row_number().over(W.partitionBy("k_id", "k_hash").orderBy("source"))), f"{name}-sizes")
     sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), f"{name}-sources")
     targets = source_targets(sizes.select("source", "source_size")).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")

@@ -63,9 +63,11 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         room = [int(quota[s] * (1 + SLACK)) - held.get(s, 0) for s in range(shards)]
         free = F.array(*[F.lit(r) for r in room])
         near = state.groupBy("g1", "g2", "shard").agg(F.count("*").alias("n"))
-        best = near.groupBy("g1", "g2").agg(F.max(F.when(free[F.col("shard")] > 0, F.struct(F.col("n"), (-F.col("shard")).alias("s")))).alias("top")).where("top is not null")
-        # a neighbourhood moves from the shards in which it has fewer rows
-        asks = near.join(best, ["g1", "g2"]).where(F.struct(F.col("n"), (-F.col("shard")).alias("s")) < F.col("top")).select("g1", "g2", "shard", F.col("n"), (-F.col("top.s")).alias("target"))
+        near = near.withColumn("h", F.xxhash64("g1", "g2", "shard")).withColumn("open", free[F.col("shard")] > 0)
+        best = near.groupBy("g1", "g2").agg(F.max(F.when(F.col("open"), F.struct("n", "h", "shard"))).alias("top")).where("top is not null")
+        # a neighbourhood moves from the shards in which it has fewer rows; of equals, from a full one or the one of the lesser hash
+        fewer = (F.col("n") < F.col("top.n")) | ((F.col("n") == F.col("top.n")) & (F.col("shard") != F.col("top.shard")) & (~F.col("open") | (F.col("h") < F.col("top.h"))))
+        asks = near.join(best, ["g1", "g2"]).where(fewer).select("g1", "g2", "shard", "n", F.col("top.shard").alias("target"))
         asks = materialize(asks.withColumn("b", _bucket("g1", "g2", salt=turn + 1)), f"{name}-asks")
         per = asks.groupBy("target", "b").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(W.partitionBy("target").orderBy("b"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import row_key, table, text_slices
 
 #: Labelled rows that training takes at most (those with the smallest hashes of their ids), and their bytes of text.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 30_000_000
 FEATURES = 1 << 13
 EPOCHS = 12
@@ -56,20 +56,21 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Weights and bias (last) of a linear machine, y in {-1, 1}: averaged subgradient steps on the hinge loss."""
+def fit_svm(x: np.ndarray, used: np.ndarray, y: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Fits on the rows `used` of x. Weights and bias (last) of a linear machine, y in {-1, 1}: averaged subgradient steps on the hinge loss."""
     rng = np.random.default_rng(seed)
     w, total, n = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
     steps = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(x))
-        for rows in np.array_split(order, max(1, len(x) // 64)):
+        order = rng.permutation(len(used))
+        for rows in np.array_split(order, max(1, len(used) // 64)):
             steps += 1
             rate = 1.0 / (LAMBDA * (steps + 1000))
-            miss = y[rows] * (x[rows] @ w[:-1] + w[-1]) < 1
+            part = x[used[rows]]
+            miss = y[rows] * (part @ w[:-1] + w[-1]) < 1
             grad = (y[rows] * weight[rows] * miss) / len(rows)
-            w[:-1] += rate * (grad @ x[rows] - LAMBDA * w[:-1])
+            w[:-1] += rate * (grad @ part - LAMBDA * w[:-1])
             w[-1] += 0.1 * rate * grad.sum()
             if epoch >= EPOCHS // 2:
                 total += w
@@ -99,17 +100,17 @@ class Hierarchy:
 def fit(x: np.ndarray, lang: list[str]) -> Hierarchy:
     names = sorted(set(lang))
     y = np.array([names.index(v) for v in lang], np.int64)
-    means = np.stack([x[y == k].mean(axis=0) for k in range(len(names))]) if names else np.zeros((0, FEATURES))
+    means = np.stack([np.mean(x, axis=0, where=(y == k)[:, None]) for k in range(len(names))]) if names else np.zeros((0, FEATURES))
     groups = families(means)
     of = np.zeros(len(names), np.int64)
     for g, members in enumerate(groups):
         of[members] = g
-    family = [fit_svm(x, np.where(of[y] == g, 1.0, -1.0)) for g in range(len(groups))] if len(groups) > 1 else [np.zeros(FEATURES + 1, np.float32)] * len(groups)
+    family = [fit_svm(x, np.arange(len(x)), np.where(of[y] == g, 1.0, -1.0)) for g in range(len(groups))] if len(groups) > 1 else [np.zeros(FEATURES + 1, np.float32)] * len(groups)
     pairs = {}
     for members in groups:
         for a, b in combinations(members, 2):
             rows = np.flatnonzero((y == a) | (y == b))
-            pairs[a, b] = fit_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0))
+            pairs[a, b] = fit_svm(x, rows, np.where(y[rows] == a, 1.0, -1.0))
     return Hierarchy(names, groups, np.stack(family) if family else np.zeros((0, FEATURES + 1), np.float32), pairs)
 
 
@@ -152,15 +153,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on a bounded sample of the rows with a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = rows.select("text", "lang", F.xxhash64(F.lit(2), "id").alias("h")).orderBy("h", "lang", "text").limit(SAMPLE_ROWS).collect()
-    x, lang, total = [], [], 0
+    rows = rows.withColumn("h", F.xxhash64(F.lit(2), "id"))
+    # the hashes come first, without texts: only the sample's texts are moved
+    most = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    picked = sorted(rows.where(F.col("h") <= most).collect(), key=lambda r: (r["h"], r["lang"], r["text"]))[:SAMPLE_ROWS] if most is not None else []
+    x, lang, total = np.zeros((len(picked), FEATURES), np.float32), [], 0
     for r in picked:
         raw = np.frombuffer(r["text"].encode(), np.uint8)
         if total + len(raw) <= SAMPLE_BYTES:
             total += len(raw)
-            x.append(features(raw, np.array([0, len(raw)])))
+            x[len(lang)] = features(raw, np.array([0, len(raw)]))[0]
             lang.append(r["lang"])
-    return fit(np.concatenate(x) if x else np.zeros((0, FEATURES), np.float32), lang)
+    return fit(x[: len(lang)], lang)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Hierarchy | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import row_key, table, text_slices, word_hashes, word_spans
 
 #: Labelled rows that training takes at most (those with the smallest hashes of their ids).
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 #: Bytes of text of the sample, at most: a row whose text does not fit is left out of the sample.
 SAMPLE_BYTES = 30_000_000
 #: Hash space of words and stems. Those that at least RARE sampled rows have get an embedding, all others share
@@ -70,7 +70,7 @@ def text_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     letter = ((low >= 97) & (low <= 122)) | (low >= 128) | ((low >= 48) & (low <= 57))
     low[~letter] = 32
     start, end, row = word_spans(low, off)
-    return (word_hashes(low, start, end, STEMS) & np.uint64(BUCKETS - 1)).astype(np.int64), np.bincount(row, minlength=len(off) - 1)
+    return (word_hashes(low, start, end, STEMS) & np.uint64(BUCKETS - 1)).astype(np.int32), np.bincount(row, minlength=len(off) - 1)
 
 
 def _pooled(ids: np.ndarray, counts: np.ndarray, tables: list[np.ndarray], model: Cnn, want_places: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -137,11 +137,9 @@ def frequent(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return lookup
 
 
-def fit(ids: np.ndarray, counts: np.ndarray, label: np.ndarray, seed: int = 3) -> Cnn:
+def fit(ids: np.ndarray, counts: np.ndarray, label: np.ndarray, lookup: np.ndarray, seed: int = 3) -> Cnn:
     """Adagrad on the logistic loss, classes weighted alike; max pooling sends gradients to the winning windows."""
     rng = np.random.default_rng(seed)
-    lookup = frequent(ids, counts)
-    ids = lookup[ids]
     embed = rng.standard_normal((int(lookup.max()) + 1, DIMS)) * 0.02
     embed[0] = 0
     model = Cnn(
@@ -240,23 +238,39 @@ def guess_language(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np
     return total.argmax(axis=1)
 
 
+def _sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """text_words of the texts, some at a time."""
+    ids, counts = [], []
+    for i in range(0, len(texts), 200):
+        data = [t.encode() for t in texts[i : i + 200]]
+        off = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
+        part, n = text_words(np.frombuffer(b"".join(data), np.uint8), off)
+        ids.append(part)
+        counts.append(n)
+    return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros((0, 1 + len(STEMS)), np.int32), np.zeros(0, np.int64))
+
+
 def train(texts: list[str], label: np.ndarray, lang: list[str]) -> Cnn:
     """Fits on three rows of four; the thresholds of the languages are set on the fourth."""
-    data = [t.encode() for t in texts]
-    off = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
-    ids, counts = text_words(np.frombuffer(b"".join(data), np.uint8), off)
+    order = sorted(range(len(texts)), key=lambda k: k % 4 != 0)  # the fourth first, so that parts are views
+    ids, counts = _sample_words([texts[k] for k in order])
+    label, lang = label[order], [lang[k] for k in order]
+    texts.clear()
     names = sorted(set(lang))
     code = np.array([names.index(x) for x in lang], np.int64)
-    fold = np.arange(len(label)) % 4 == 0
-    word_fold = np.repeat(fold, counts)
-    model = fit(ids[~word_fold], counts[~fold], label[~fold])
+    fold = -(-len(label) // 4)
+    cut = int(counts[:fold].sum())
+    lookup = frequent(ids[cut:], counts[fold:])
+    for i in range(0, len(ids), 100_000):
+        ids[i : i + 100_000] = lookup[ids[i : i + 100_000]]
+    model = fit(ids[cut:], counts[fold:], label[fold:], lookup)
     if len(label):
-        ids = model.lookup[ids]
         model.lang_words = _language_table(ids, counts, code, len(names), len(model.embed))
-        guess = guess_language(ids[word_fold], counts[fold], model.lang_words)
-        z = logits(ids[word_fold], counts[fold], model, model.responses())
-        pooled = _threshold(z, label[fold])
-        model.thresholds = np.array([_threshold(z[guess == k], label[fold][guess == k]) if (label[fold][guess == k] == 1).sum() >= 20 else pooled for k in range(len(names))])
+        guess = guess_language(ids[:cut], counts[:fold], model.lang_words)
+        z = logits(ids[:cut], counts[:fold], model, model.responses())
+        y = label[:fold]
+        pooled = _threshold(z, y)
+        model.thresholds = np.array([_threshold(z[guess == k], y[guess == k]) if (y[guess == k] == 1).sum() >= 20 else pooled for k in range(len(names))])
     return model
 
 
@@ -275,10 +289,15 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> tuple[list[str], np.ndarray, list[str]]:
     """A bounded sample of the labelled rows that are not held out, by the smallest hashes of their ids."""
-    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).where("label is not null").groupBy("l_id").agg(F.max("label").alias("label"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(~held_out("id"))
-    rows = rows.where("text is not null and octet_length(text) > 0").join(known, F.col("id") == F.col("l_id"))
-    picked = rows.select("id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "label", F.xxhash64(F.lit(1), "id").alias("h")).orderBy("h", "text").limit(SAMPLE_ROWS).collect()
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    known = known.withColumn("h", F.xxhash64(F.lit(1), "id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
+    rows = rows.where(~held_out("id") & (F.octet_length("text") > 0))
+    # the hashes come first, without texts: only the sample's texts are moved
+    hashes = rows.select("id").join(known, "id").orderBy("h").limit(SAMPLE_ROWS)
+    most = hashes.agg(F.max("h")).first()[0]
+    picked = rows.where(F.xxhash64(F.lit(1), "id") <= most).join(known.where(F.col("h") <= most), "id").collect() if most is not None else []
+    picked = sorted(picked, key=lambda r: (r["h"], r["text"]))[:SAMPLE_ROWS]
     texts, label, lang, total = [], [], [], 0
     for r in picked:
         if total + len(r["text"]) <= SAMPLE_BYTES:

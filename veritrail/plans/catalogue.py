@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as T
+from veritrail.operators import answers, report
 from veritrail.operators import claims as C
 from veritrail.operators import retrieval as R
 from veritrail.operators import transcripts as P
-from veritrail.sources import store
+from veritrail.sources import store, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -457,3 +458,44 @@ def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
     return store.signatures(rows, "source", "doc_id", "h")
+
+
+@query(r"""SELECT user_id, md5(string_agg(format('[{:02d}:{:02d}] {}', t // 60, t % 60, event_type), chr(10) ORDER BY event_id)) AS transcript_md5
+    FROM (SELECT *, (event_id % 7200)::BIGINT AS t FROM events) GROUP BY 1""")
+def transcript_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("ord"), (F.col("event_id") % 7200).cast("double").alias("start_seconds"), F.col("event_type").alias("text"))
+    return video.render_transcripts(e, "user_id").select("user_id", F.md5(F.col("transcript").cast("binary")).alias("transcript_md5"))
+
+
+def _report_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("lang").alias("title"), F.col("source").alias("channel"), F.col("n_chars").cast("long").alias("duration_seconds"))
+
+
+_LABEL = "CASE WHEN {x} >= 3600 THEN format('{{}}:{{:02d}}:{{:02d}}', {x} // 3600, {x} % 3600 // 60, {x} % 60) ELSE format('{{}}:{{:02d}}', {x} // 60, {x} % 60) END"
+
+
+@query(f"""SELECT doc_id AS ord, concat('- **', coalesce(lang, '(untitled)'), '** — ', coalesce(source, '?'), ' (', {_LABEL.format(x="n_chars")}, ', ', coalesce(n, 0), ' claims)') AS line
+    FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) USING (doc_id)""")
+def report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = _t(spark, sf_dir, "labels").select(F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"))
+    return report.source_lines(_report_videos(spark, sf_dir), claims)
+
+
+def _report_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim per event, of its user's video; its chunk is the event's, which every third event lacks."""
+    e, v = _t(spark, sf_dir, "events"), F.concat(F.lit("v"), F.col("user_id").cast("string"))
+    chunk = F.when(F.col("event_id") % 3 > 0, F.format_string("v%d_c%04d", "user_id", "event_id"))
+    claims = e.select(F.format_string("k%d", "event_id").alias("claim_id"), v.alias("video_id"), F.col("event_type").alias("claim"), chunk.alias("chunk_id"))
+    chunks = e.where("event_id % 3 = 1").select(F.format_string("v%d_c%04d", "user_id", "event_id").alias("chunk_id"), (F.col("event_id") % 5000 + 0.5).alias("start_seconds"), (F.col("event_id") % 2 == 0).alias("is_estimated"))
+    return report.citation(claims, chunks, _report_videos(spark, sf_dir))
+
+
+@query(f"""SELECT concat('k', event_id) AS claim_id, concat('v', user_id) AS source, concat(event_type, ' — [', coalesce(lang, concat('v', user_id)), ' @ ', CASE WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN '~' ELSE '' END, {_LABEL.format(x="t")}, '](https://youtu.be/v', user_id, '?t=', t, ')') AS line
+    FROM (SELECT *, CASE WHEN event_id % 3 = 1 THEN event_id % 5000 ELSE 0 END AS t FROM events) LEFT JOIN documents ON doc_id = user_id""")
+def report_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_cited(spark, sf_dir).select("claim_id", "source", "line")
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[!.?]+$', '') IN ('hi', 'hello', 'hey', 'yo', 'hi bhai', 'hey bhai', 'hello bhai', 'hii', 'hey there', 'namaste', 'hola') AS greets FROM conversations")
+def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", answers.is_greeting(F.col("text")).alias("greets"))

@@ -22,6 +22,9 @@ from ._common import materialize, mix, release, row_key, text_slices
 
 #: Different pieces of one bucket that a task compares.
 BUCKET_PIECES = 4000
+#: An anchor with over this share of all pieces is hot, so hot ones are fewer than HOT_SHARE; each is dealt in SALTS parts.
+HOT_SHARE = 1024
+SALTS = 64
 
 #: n_rel: the piece's windows times 1024, plus its first window's distance from the anchor.
 PIECE = "k_id long, k_hash long, doc_id long, at long, n_rel int, key long"
@@ -120,12 +123,21 @@ def _halve(sub: Callable[[bytes, int, int], bytes], width: int):
     return run
 
 
+def _with_repeated_keys(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pieces whose key is in counts (key, count), which is written. A hot key's pieces go to SALTS tasks."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    counts = counts.withColumn("is_hot", F.col("count") > total // HOT_SHARE)
+    hot = counts.where("is_hot").select("key", F.lit(True).alias("is_hot"))
+    salted = pieces.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("k_id", "k_hash", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
+    keys = counts.select("key", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(keys, ["key", "salt"], "left_semi").drop("salt", "is_hot")
+
+
 def repeated_pieces(rows: DataFrame, pieces: DataFrame, cut, sub, width: int, top: int, name: str, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """TEXT_PIECE rows plus h1, h2 (the piece's address), written: all pieces whose anchor is met more than once,
     in buckets (key) of at most bucket_pieces different ones."""
     pieces = materialize(pieces, f"{name}-pieces")
-    counts = pieces.groupBy("key").count().where("count > 1").select("key")
-    met = pieces.join(counts, "key", "left_semi")
+    met = _with_repeated_keys(pieces, materialize(pieces.groupBy("key").count().where("count > 1"), f"{name}-counts"))
     found = met.groupBy("k_id", "k_hash").agg(F.collect_list(F.struct("at", "n_rel", "key")).alias("found"))
     found = materialize(found, f"{name}-found")  # a group is one text's pieces
     release(pieces)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrail import cli
+from veritrail.service import Service
 from veritrail.operators import answers, synthesis
 from veritrail.sources import models, video
 from veritrail.workspace import Workspace, workspaces
@@ -94,3 +95,41 @@ def test_transcription(spark, tmp_path):
     assert video.append_payload(str(path), got) == 1 and video.append_payload(str(path), got) == 2
     rows = spark.createDataFrame([("v", 1, 61.5, "b"), ("v", 0, 0.0, "a")], "video_id string, ord long, start_seconds double, text string")
     assert video.render_transcripts(rows).first().transcript == got["transcript"]
+
+
+def test_routes(spark, tmp_path):
+    """Every route over a workspace filled by /add and a list of URLs, one of which can't be fetched."""
+
+    def fetch(url: str) -> dict:
+        if url == "bad":
+            raise OSError("gone")
+        return {"metadata": {"video_id": url, "title": url.upper(), "channel": "C", "duration_seconds": 60}, "transcript": f"[00:00] This is {url}. {PARTS}"}
+
+    s = Service(spark, str(tmp_path / "w"), _client, fetch)
+    assert s.respond("GET", "/health") == (200, {"status": "ok"}) and s.respond("GET", "/workspaces") == (200, {"workspaces": []})
+    assert [s.respond(*x)[0] for x in (("GET", "/nowhere"), ("PUT", "/add"), ("GET", "/workspaces/demo"), ("GET", "/claims/demo"), ("DELETE", "/workspaces/demo"), ("GET", "/report/a b"), ("POST", "/chat"))] == [404, 405, 404, 404, 404, 404, 422]
+    assert s.respond("POST", "/add", {"url": "bad", "workspace_id": "demo"})[1]["detail"].endswith("gone")
+    assert s.respond("POST", "/add", {"url": "v1", "workspace_id": "demo"}) == (200, {"status": "ok", "workspace_id": "demo"})
+    (tmp_path / "urls.txt").write_text("# two\n\n v2 \nbad\n")
+    args = cli.parser().parse_args(["--root", f"{tmp_path}/w", "batch", "demo", f"{tmp_path}/urls.txt"])
+    assert ["error" in x for x in cli.run(spark, args)] == [True, True]  # no --fetch
+    w = Workspace(spark, f"{tmp_path}/w", "demo")
+    got = w.add_all(w.urls(f"{tmp_path}/urls.txt"), fetch, _client)
+    assert got[0]["videos"] == 2 and got[0]["themes"] >= 1 and got[1] == {"url": "bad", "error": "OSError: gone"}
+    detail = s.respond("GET", "/workspaces/demo/")[1]
+    assert [v["video_id"] for v in detail["videos"]] == ["v1", "v2"] and detail["claim_count"] == len(s.respond("GET", "/claims/demo")[1]["claims"]) > 0
+    assert s.respond("GET", "/workspaces")[1]["workspaces"] == [{"id": "demo", "videos": 2, "claims": detail["claim_count"], "has_report": True}]
+    said = s.respond("POST", "/chat", {"workspace_id": "demo", "question": "are apples fruit?", "history": [{"role": "user", "content": "hi"}], "mode": "assist"})[1]
+    assert said["cited_count"] == 1 and said["citations_valid"] and not said["verified"] and said["caveat"]
+    assert s.respond("GET", "/messages/demo")[1]["messages"] == []
+    assert len(s.respond("GET", "/themes/demo")[1]["themes"]) == detail["theme_count"] and "v1" in s.respond("GET", "/report/demo")[1]["markdown"].lower()
+    assert s.respond("POST", "/transcribe", {"url": "v9"})[1]["metadata"]["video_id"] == "v9"
+    assert s.respond("DELETE", "/workspaces/demo")[1]["vectors_removed"] > 0 and s.respond("GET", "/workspaces/demo")[0] == 404
+
+
+def test_synthesize_clusters(spark):
+    rows = [("c1", 1, "a", "apples", "v1", "support", 1), ("c1", 2, "b", "pears", "v2", "support", 1), ("c2", 3, "d", "plums", "v1", "support", 1)]
+    claims = spark.createDataFrame(rows, "cluster_id string, ord long, claim_id string, claim string, video_id string, stance string, n_evidence int")
+    got = {r.cluster_id: r for r in synthesis.synthesize_clusters(claims, _client).collect()}
+    assert (got["c1"].relationship, got["c1"].synthesis_note, got["c1"].status) == ("agreement", "both", "ok")
+    assert (got["c2"].relationship, got["c2"].synthesis_note, got["c2"].status) == ("single_source", None, "ok")

@@ -9,6 +9,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from veritrail import service
 from veritrail.sources.models import Recorded
 from veritrail.workspace import Workspace, workspaces
 
@@ -17,6 +18,7 @@ COMMANDS = {
     "ingest": ("add the videos of a JSON file", ["path"]), "index": ("embed the chunks", []), "extract-claims": ("ask a model for claims", []), "cluster": ("cluster the claims", []),
     "synthesize": ("find and label cross-source themes", []), "chat": ("answer one question", ["question"]), "talk": ("answer the questions of standard input", []), "evaluate": ("score retrieval", ["path"]),
     "report": ("print the report", []), "status": ("count the records", []), "delete": ("delete the workspace", []), "list": ("list all workspaces", []),
+    "add": ("fetch one video and run all steps", ["url"]), "batch": ("add the videos of a list of URLs", ["path"]), "serve": ("answer HTTP requests", ["port"]),
 }
 
 
@@ -24,31 +26,47 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="veritrail", description=__doc__)
     top.add_argument("--root", required=True, help="folder of the tables")
     top.add_argument("--client", help="module:function that makes a text model's client")
+    top.add_argument("--fetch", help="module:function from a URL to {metadata, transcript}")
     top.add_argument("--mode", choices=("grounded", "assist"), default="grounded")
     sub = top.add_subparsers(dest="command", required=True)
     for name, (text, extra) in COMMANDS.items():
         one = sub.add_parser(name, help=text)
-        for arg in ([] if name == "list" else ["workspace"]) + extra:
+        for arg in ([] if name in ("list", "serve") else ["workspace"]) + extra:
             one.add_argument(arg)
     return top
 
 
 def client_maker(name: str | None):
     """The named function, or a client that always says that there is none."""
-    if not name:
-        return lambda: Recorded({})
+    return named(name) if name else lambda: Recorded({})
+
+
+def named(name: str):
     module, _, attribute = name.partition(":")
     return getattr(importlib.import_module(module), attribute)
 
 
+def fetcher(name: str | None):
+    """The named function, or one that says that there is none."""
+
+    def none(url: str) -> dict:
+        raise LookupError(f"no --fetch is given, so {url} can't be fetched")
+
+    return named(name) if name else none
+
+
 def run(spark: SparkSession, args: argparse.Namespace):
     if args.command == "list":
         return workspaces(spark, args.root)
-    w, make = Workspace(spark, args.root, args.workspace), client_maker(args.client)
+    make, fetch = client_maker(args.client), fetcher(args.fetch)
+    if args.command == "serve":
+        return service.serve(service.Service(spark, args.root, make, fetch), int(args.port))
+    w = Workspace(spark, args.root, args.workspace)
     steps = {
         "ingest": lambda: w.ingest(args.path), "index": w.index, "extract-claims": lambda: w.extract_claims(make), "cluster": w.cluster, "synthesize": lambda: w.themes(make),
         "chat": lambda: w.ask(args.question, make, args.mode), "talk": lambda: [w.ask(q.strip(), make, args.mode) for q in sys.stdin if q.strip()],
         "evaluate": lambda: w.evaluate(args.path), "report": w.report, "status": w.status, "delete": w.delete,
+        "add": lambda: w.add(fetch(args.url), make), "batch": lambda: w.add_all(w.urls(args.path), fetch, make),
     }
     return steps[args.command]()
 

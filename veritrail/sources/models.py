@@ -69,7 +69,7 @@ class Recorded:
         return found
 
 
-def complete(prompts: DataFrame, make_client: Callable[[], Client], key: str, key_type: str = "long", tasks: int | None = None) -> DataFrame:
+def complete(prompts: DataFrame, make_client: Callable[[], Client], key: str, tasks: int | None = None) -> DataFrame:
     """prompts: key, prompt. Adds raw (null where the client failed) and error.
 
     make_client runs once a task on the executor. `tasks` bounds how many ask at once, for a provider's rate limit.
@@ -89,4 +89,4 @@ def complete(prompts: DataFrame, make_client: Callable[[], Client], key: str, ke
             yield pd.DataFrame({key: pdf[key], "prompt": pdf["prompt"], "raw": raw, "error": error})
 
     rows = prompts.select(key, "prompt")
-    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, f"{key} {key_type}, prompt string, raw string, error string")
+    return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, prompt string, raw string, error string")

@@ -4,7 +4,7 @@ call nothing else. Tables are Parquet, partitioned by workspace_id; each step re
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,35 @@ class Workspace:
         self._put("videos", known.select(*vcols).unionByName(got.join(added, "video_id", "left_semi").select(*vcols)))
         return {"videos": self.table("videos").count(), "chunks": self.table("chunks").count(), "added": self.table("chunks").count() - before}
 
+    def add(self, payload: dict, make_client: Callable[[], Client]) -> dict:
+        """One video, {metadata, transcript}, through all steps. Themes are left as they are if labelling them fails."""
+        beside = f"{self.root}/_new/raw-{self.id}"
+        raw = json.dumps([payload], ensure_ascii=False)
+        self.spark.createDataFrame([(raw,)], "value string").coalesce(1).write.mode("overwrite").text(beside)
+        got = {**self.ingest(beside), "indexed": self.index(), **self.extract_claims(make_client), "clusters": self.cluster()}
+        try:
+            got["themes"] = self.themes(make_client)
+        except Exception as e:
+            got["themes_error"] = f"{type(e).__name__}: {e}"[:500]
+        return got
+
+    def add_all(self, urls: Iterable[str], fetch: Callable[[str], dict], make_client: Callable[[], Client]) -> list[dict]:
+        """Fetches and adds videos in turn; one that fails is told and skipped."""
+        found = []
+        for url in urls:
+            try:
+                found.append({"url": url, **self.add(fetch(url), make_client)})
+            except Exception as e:
+                found.append({"url": url, "error": f"{type(e).__name__}: {e}"[:500]})
+        return found
+
+    def urls(self, path: str) -> list[str]:
+        """The URLs of a list file; someone wrote it by hand, one line a video."""
+        return [r.url for r in store.read_urls(self.spark, path).toLocalIterator()]
+
+    def known(self) -> bool:
+        return not self.table("videos").isEmpty()
+
     def index(self) -> int:
         self._put("vectors", self.table("chunks").select("id", R.bag_of_words("text").alias("vector")))
         return self.table("vectors").count()
@@ -104,13 +133,18 @@ class Workspace:
         words = R.bm25_top_k(self.table("chunks").select("id", "text"), questions, k, "id")
         return R.reciprocal_rank_fusion([near, words], k)
 
-    def ask(self, question: str, make_client: Callable[[], Client], mode: str = "grounded") -> dict:
-        """The answer with its checked citations; question and answer become messages."""
+    def ask(self, question: str, make_client: Callable[[], Client], mode: str = "grounded", history: list[dict] | None = None, keep: bool = True) -> dict:
+        """The answer with its checked citations. The stored messages are its history, unless one is given; question and
+        answer become messages if keep is set."""
         q = self.spark.createDataFrame([(0, question)], "question_id long, question string")
         chunks = self.table("chunks").select("id", "title", T.timestamp_range(F.col("start_seconds"), F.col("end_seconds"), F.col("is_estimated")).alias("times"), "text")
         said = self.table("messages")
         recent = store.last_messages(said, "workspace_id", ["ord desc"], 20).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "role", "content"))), lambda m: F.struct(m["role"], m["content"])).alias("history")).withColumn("question_id", F.lit(0).cast("long"))
+        if history is not None:
+            recent = self.spark.createDataFrame([(0, [(m.get("role"), m.get("content")) for m in history])], "question_id long, history array<struct<role:string,content:string>>")
         got = answers.ask(q, answers.hybrid_contexts(chunks, q, self.retrieve(q)), make_client, recent, mode).first().asDict(recursive=True)
+        if not keep:
+            return got
         n = said.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
         new = self.spark.createDataFrame([(n, "user", question, mode), (n + 1, "assistant", got["answer"], mode)], "ord long, role string, content string, mode string")
         new.withColumn("workspace_id", F.lit(self.id)).write.mode("append").partitionBy("workspace_id").parquet(self._path("messages"))

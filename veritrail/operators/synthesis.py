@@ -39,7 +39,7 @@ def extract_claims(chunks: DataFrame, cache: DataFrame, make_client: Callable[[]
     missing = C.cache_misses(chunks, cache)
     numbered = C.batches(missing, "video_id", "ord", batch_size)
     prompts = claim_prompts(missing, batch_size).withColumn("reply_id", F.to_json(F.struct("video_id", "batch_no")))
-    replies = complete(prompts, make_client, "reply_id", "string").where("raw is not null")
+    replies = complete(prompts, make_client, "reply_id").where("raw is not null")
     body = T.strip_fence(F.col("raw"))
     checked = C.validate_claims(replies, chunks)
     first = replies.where(body.startswith("[")).select("reply_id", F.posexplode(F.from_json(body, C._REPLY)).alias("pos", "c")).select("reply_id", "pos", F.get("c.evidence", F.lit(0))["chunk_id"].alias("chunk_id"))

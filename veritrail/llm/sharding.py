@@ -20,8 +20,8 @@ SHARDS = 24
 ROUNDS = 8
 #: Part of a quota that a shard may be above it between rounds, so that rows can change places in full shards.
 SLACK = 0.25
-#: Rows of a group that move as one, at most; a larger group is cut into parts.
-PART_ROWS = 50_000
+#: Rows of a group that are ranked in one window, about; the group stays one neighbourhood.
+RANK_ROWS = 50_000
 #: Buckets in which rows are ranked and admitted. Tables of (shard, bucket) counts have SHARDS * BUCKETS rows at most.
 BUCKETS = 1024
 
@@ -30,19 +30,23 @@ def _bucket(*cols: str, salt: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(BUCKETS)).cast("int")
 
 
-def _ranked(rows: DataFrame, by: str | None, order: list[str], name: str, together: int = 1) -> DataFrame:
+def _ranked(rows: DataFrame, by: str | None, order: list[str], name: str, together: int = 1, pieces: bool = False) -> DataFrame:
     """Adds `rank`: gapless from 0 (within each `by`), in an order of hash buckets of the first
     `together` columns and then `order`.
 
-    Only counts per bucket are summed in order; rows are ranked within their buckets.
+    Only counts per bucket are summed in order; rows are ranked within their buckets. With `pieces`, a group (g2) for
+    which that column is above 1 follows the others of its bucket in as many pieces.
     """
-    rows = rows.withColumn("b", _bucket(*order[:together]))
-    keys = ([by] if by else []) + ["b"]
+    rows, at = rows.withColumn("b", _bucket(*order[:together])), ["b"]
+    if pieces:
+        rows = rows.withColumn("own", F.when(F.col("pieces") > 1, F.col("g2")).otherwise(0)).withColumn("piece", F.pmod(F.xxhash64(F.lit(7), "doc_id"), "pieces"))
+        at = ["b", "own", "piece"]
+    keys = ([by] if by else []) + at
     counts = materialize(rows.groupBy(*keys).count(), f"{name}-counts")
-    before = W.partitionBy(*([by] if by else [F.lit(0)])).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*([by] if by else [F.lit(0)])).orderBy(*at).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("nth", nth).join(F.broadcast(offsets), keys).withColumn("rank", F.col("offset") + F.col("nth") - 1).drop("b", "nth", "offset")
+    return rows.withColumn("nth", nth).join(F.broadcast(offsets), keys).withColumn("rank", F.col("offset") + F.col("nth") - 1).drop(*at, "nth", "offset")
 
 
 def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, name: str = "shard") -> DataFrame:
@@ -52,10 +56,11 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1")
     sizes = materialize(sizes, f"{name}-groups")
     # a group that no shard can hold is cut into parts of about half a quota, which are then neighbourhoods of their own
-    part = max(1, min(total // shards // 2, PART_ROWS))
+    part = max(1, total // shards // 2)
     parts = F.when(F.col("members") > 2 * part, F.ceil(F.col("members") / part)).otherwise(1).cast("int")
-    linked = rows.join(sizes, ["g1", "g2"]).withColumn("g2", F.xxhash64("g2", F.pmod(F.xxhash64(F.lit(5), "doc_id"), parts))).drop("members")
-    loners = rows.join(sizes, ["g1", "g2"], "left_anti")
+    linked = rows.join(sizes, ["g1", "g2"]).withColumn("g2", F.xxhash64("g2", F.pmod(F.xxhash64(F.lit(5), "doc_id"), parts)))
+    linked = linked.withColumn("pieces", F.ceil(F.col("members") / RANK_ROWS).cast("int")).drop("members")
+    loners = rows.join(sizes, ["g1", "g2"], "left_anti").withColumn("pieces", F.lit(1))
     state = _ranked(linked, None, ["doc_id", "g1", "g2"], name).withColumn("shard", F.pmod(F.col("rank"), F.lit(shards)).cast("int")).drop("rank")
     state = materialize(state, f"{name}-state")
     for turn in range(rounds):
@@ -80,7 +85,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         moved = materialize(moved.select(*state.columns), f"{name}-state")
         release(state, moves)
         state = moved
-    ordered = _ranked(state, "shard", ["g1", "g2", "doc_id"], f"{name}-over", together=2)
+    ordered = _ranked(state, "shard", ["g1", "g2", "doc_id"], f"{name}-over", together=2, pieces=True)
     quotas = F.array(*[F.lit(q) for q in quota])
     ordered = materialize(ordered.withColumn("fits", F.col("rank") < quotas[F.col("shard")]).drop("rank"), f"{name}-fits")
     state, over = ordered.where("fits").drop("fits"), ordered.where("not fits").drop("fits", "shard")
@@ -90,8 +95,8 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         upto += quota[s] - held.get(s, 0)
         bounds.append(upto)
     to = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("rank"))).cast("int")
-    filled = _ranked(loners.unionByName(over), None, ["g1", "g2", "doc_id"], f"{name}-fill", together=2).withColumn("shard", to).drop("rank")
-    return materialize(state.unionByName(filled.select(*state.columns)), f"{name}-all")
+    filled = _ranked(loners.unionByName(over), None, ["g1", "g2", "doc_id"], f"{name}-fill", together=2, pieces=True).withColumn("shard", to).drop("rank")
+    return materialize(state.unionByName(filled.select(*state.columns)).drop("pieces"), f"{name}-all")
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:

@@ -259,7 +259,8 @@ def _true_neighbours(rows: DataFrame, q: np.ndarray, own: np.ndarray, longest: f
 
 
 def _compared(dims: int, k: int):
-    """One region's vectors against the queries that ask for some of its lists: the k best of each query."""
+    """One region's vectors against the queries that ask for some of its lists: the k best of each query that are not
+    below its floor."""
     schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def compare(vec: pa.Table, ask: pa.Table) -> pa.Table:
@@ -268,7 +269,7 @@ def _compared(dims: int, k: int):
         vec = vec.sort_by("list")
         x, q = _vectors(vec.column("vec"), dims), _vectors(ask.column("qvec"), dims)
         lists, row, ids = (vec.column(c).to_numpy() for c in ("list", "row", "vec_id"))
-        query, query_id = ask.column("query").to_numpy(), ask.column("query_id").to_numpy()
+        query, query_id, floor = (ask.column(c).to_numpy() for c in ("query", "query_id", "floor"))
         wanted = ask.column("lists").combine_chunks()
         who, want = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()
         order = np.argsort(want, kind="stable")
@@ -281,7 +282,7 @@ def _compared(dims: int, k: int):
         near[query[:, None] == row[None]] = -np.inf
         # a row may stand in REPLICAS lists of the region; sums in any order differ by less than the slack
         n = min(REPLICAS * k, len(x))
-        cut = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+        cut = np.maximum(-np.partition(-near, n - 1, axis=1)[:, n - 1], floor)
         with np.errstate(invalid="ignore"):
             a, b = np.nonzero((near >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None]) & (near > -np.inf))
         score = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 50_000]], x[b[i : i + 50_000]]) for i in range(0, len(a), 50_000)] or [np.zeros(0)])
@@ -350,7 +351,7 @@ def _of_one_length(rows: DataFrame, dims: int, longest: float, query_every: int,
         n, region_of = where.value
         seen, mark = np.zeros(len(n), np.int64), 0
         for batch in batches:
-            at, to, lists = [], [], []
+            at, to, first, lists = [], [], [], []
             for r, q in enumerate(query_point(_vectors(batch.column("vec"), dims)) if batch.num_rows else ()):
                 mark += 1
                 ids, dist, base = graph_search(q, shared.value, seen, mark)
@@ -359,33 +360,52 @@ def _of_one_length(rows: DataFrame, dims: int, longest: float, query_every: int,
                     if n[ids].sum() < 4 * k:  # the walk met few rows: all lists, by distance
                         ids = np.argsort(-(shared.value.centroids @ q), kind="stable")
                     some = max(some, int(np.searchsorted(np.cumsum(n[ids]), 4 * k)) + 1)
-                ids = np.sort(ids[:some][n[ids[:some]] > 0])
+                ids = ids[:some][n[ids[:some]] > 0]
+                near = list(dict.fromkeys(region_of[ids].tolist()))  # the nearest first
+                soon = set(near[: int(np.ceil(np.sqrt(len(near))))])
+                ids = np.sort(ids)
                 for part in np.split(ids, np.flatnonzero(np.diff(region_of[ids])) + 1):
                     at.append(r)
                     to.append(int(region_of[part[0]]))
+                    first.append(to[-1] in soon)
                     lists.append(part)
             if at:
                 row = pa.array(np.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).take(row) for c in ("row", "vec_id", "vec")), pa.array(to, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query", "query_id", "qvec", "region", "lists"]
-                )
+                    [*(batch.column(c).take(row) for c in ("row", "vec_id", "vec")), pa.array(to, pa.int64()), pa.array(first, pa.bool_()), pa.array(lists, pa.list_(pa.int32()))],
+                    names=["query", "query_id", "qvec", "region", "first", "lists"],
+                )
 
-    asked = materialize(rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(route, f"query long, query_id long, qvec {kind}, region long, lists array<int>"), "ann-asked")
-    # blocks of a region's vectors meet blocks of the queries that ask for its lists
+    asked = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0).mapInArrow(route, f"query long, query_id long, qvec {kind}, region long, first boolean, lists array<int>")
+    asked = materialize(asked, "ann-asked")
     numbered = spark.createDataFrame(pa.table({"list": pa.array(np.arange(len(region), dtype=np.int32)), "region": pa.array(region)}))
-    posted = postings.join(F.broadcast(numbered), "list")
+    posted = postings.join(F.broadcast(numbered), "list")  # a row for each list
+    # the root of a query's regions, the nearest, give it k rows; of the others only rows that are no worse count
+    near = materialize(_best(_met(posted, asked.where("first").withColumn("floor", F.lit(float("-inf"))), dims, k), k), "ann-near")
+    floors = near.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("query", "floor")
+    later = asked.where("not first").join(floors, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = _best(near.drop("rank").unionByName(_met(posted, later, dims, k)), k)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _met(posted: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """query, query_id, row, vec_id, score: blocks of a region's vectors meet blocks of the queries that ask for its lists."""
     asks = asked.groupBy("region").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("q_blocks"))
-    counts = posted.groupBy("region").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("v_blocks")).join(asks, "region")
+    counts = posted.groupBy("region").agg(F.ceil(F.count("*") / (2 * BLOCK_VECTORS)).cast("int").alias("v_blocks")).join(asks, "region")
     counts = F.broadcast(materialize(counts, "ann-blocks"))  # fewer rows than lists
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = posted.join(counts, "region").withColumn("vb", F.pmod(F.xxhash64("row"), F.col("v_blocks")).cast("int")).withColumn("qb", each("q_blocks"))
     right = asked.join(counts, "region").withColumn("qb", F.pmod(F.xxhash64("query"), F.col("q_blocks")).cast("int")).withColumn("vb", each("v_blocks"))
     keys = ["region", "vb", "qb"]
-    met = left.select(*keys, "list", "row", "vec_id", "vec").groupBy(*keys).cogroup(right.select(*keys, "query", "query_id", "qvec", "lists").groupBy(*keys))
-    best = met.applyInArrow(_compared(dims, k), "query long, query_id long, row long, vec_id long, score double")
-    one = best.groupBy("query", "row").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
+    met = left.select(*keys, "list", "row", "vec_id", "vec").groupBy(*keys).cogroup(right.select(*keys, "query", "query_id", "qvec", "lists", "floor").groupBy(*keys))
+    return met.applyInArrow(_compared(dims, k), "query long, query_id long, row long, vec_id long, score double")
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query, with rank."""
+    one = met.groupBy("query", "row").agg(F.first("query_id").alias("query_id"), F.first("vec_id").alias("vec_id"), F.max("score").alias("score"))
     nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
-    return one.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return one.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

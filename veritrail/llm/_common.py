@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles (a longer document is a step of its own).
 SLICE_BYTES = 1 << 20
 _RUN = f"veritrail-{uuid.uuid4().hex}"
 _folders: dict[str, SparkSession] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 
 
 def _base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'veritrail-shared')}"
     folder = f"{base.rstrip('/')}/{_RUN}"
     if not _folders:
@@ -77,13 +81,36 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._veritrail_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `materialize` writes in the block are deleted at its end, but for those handed to the function that
+    the block gets: these are left to the block around it, if there is one."""
+    own: list[DataFrame] = []
+    _scopes.append(own)
+
+    def keep(t: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not t]
+        if len(_scopes) > 1:
+            _scopes[-2].append(t)
+        return t
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        release(*own)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables of `materialize` that nothing reads any more."""
     for t in tables:
         if t is not None and (path := getattr(t, "_veritrail_path", None)):
+            t._veritrail_path = None
             _delete(t.sparkSession, path)
 
 
@@ -96,6 +123,26 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def bounded_sample(rows: DataFrame, seed: int, most_rows: int, most_bytes: int, window: int, known: DataFrame | None = None) -> list[Row]:
+    """rows: id, text, others. A sample for the driver: the rows with the smallest hashes of id and text (repeats of a
+    row count once), most_rows at most, as many as have most_bytes of text together. Of a text of more than `window`
+    characters the sample has a window, at a place that the hash gives. known: id, others, to which rows are limited."""
+    h = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "text"))
+    met = (lambda t: t.join(known, "id")) if known is not None else (lambda t: t)
+    small = met(h.select("id", "h", F.least(F.octet_length("text"), F.lit(4 * window)).alias("size"))).select("h", "size")
+    most, total = None, 0
+    for k in sorted({tuple(r) for r in small.orderBy("h").limit(most_rows).collect()}):
+        total += k[1]
+        if total > most_bytes:
+            break
+        most = k[0]
+    if most is None:
+        return []
+    long = F.char_length("text") - window
+    cut = F.when(long > 0, F.substring("text", F.pmod(F.col("h"), F.greatest(long, F.lit(1))).cast("int") + 1, F.lit(window))).otherwise(F.col("text"))
+    return sorted(met(h.where(F.col("h") <= most)).dropDuplicates(["h"]).withColumn("text", cut).collect(), key=lambda r: r["h"])
+
+
 def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
     cond = None
     for n in names:
@@ -198,6 +245,93 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, stems: tup
     return mix(out) if stems else mix(out[:, 0])
 
 
+# ----------------------------------------------------------------------------- XXH64
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: the hash's primes
+
+
+def _rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def _lane(acc: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _rotated(acc + word * _P2, 31) * _P1
+
+
+def words_from(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a little-endian number; the last 7 places have none."""
+    n = len(data) - 7
+    out = np.empty(max(n, 0), np.uint64)
+    for r in range(8):
+        part = data[r : r + (len(data) - r) // 8 * 8]
+        out[r::8] = np.ascontiguousarray(part).view("<u8")
+    return out
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of data[start:end] for each pair of places: all spans take each step of the hash together."""
+    words = words_from(np.concatenate((data, np.zeros(8, np.uint8))))
+    size, seed_ = end - start, np.uint64(seed)
+    at, h = start.copy(), np.full(len(start), seed_ + _P5, np.uint64)
+    with np.errstate(over="ignore"):
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            lanes = [np.full(len(long), v, np.uint64) for v in (seed_ + _P1 + _P2, seed_ + _P2, seed_, seed_ - _P1)]
+            go = np.arange(len(long))
+            while len(go):
+                for k in range(4):
+                    lanes[k][go] = _lane(lanes[k][go], words[at[long[go]] + 8 * k])
+                at[long[go]] += 32
+                go = go[end[long[go]] - at[long[go]] >= 32]
+            acc = _rotated(lanes[0], 1) + _rotated(lanes[1], 7) + _rotated(lanes[2], 12) + _rotated(lanes[3], 18)
+            for lane in lanes:
+                acc = (acc ^ _lane(np.zeros(len(long), np.uint64), lane)) * _P1 + _P4
+            h[long] = acc
+        h += size.astype(np.uint64)
+        for _ in range(3):
+            go = np.flatnonzero(end - at >= 8)
+            if not len(go):
+                break
+            h[go] = _rotated(h[go] ^ _lane(np.zeros(len(go), np.uint64), words[at[go]]), 27) * _P1 + _P4
+            at[go] += 8
+        go = np.flatnonzero(end - at >= 4)
+        h[go] = _rotated(h[go] ^ ((words[at[go]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at[go] += 4
+        for _ in range(3):
+            go = np.flatnonzero(end > at)
+            if not len(go):
+                break
+            h[go] = _rotated(h[go] ^ ((words[at[go]] & np.uint64(0xFF)) * _P5), 11) * _P1
+            at[go] += 1
+        h ^= h >> np.uint64(33)
+        h *= _P2
+        h ^= h >> np.uint64(29)
+        h *= _P3
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def shingle_hashes(texts: list[bytes], words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, their number in each text): XXH64 of each run of `words` words, A-Z lowered and joined by one space; a
+    text of fewer words has one, a text without words none."""
+    found = [t.lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    joined = np.frombuffer(b" ".join(b" ".join(w) for w in found if w), np.uint8)
+    if not len(joined):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    ends = np.append(np.flatnonzero(joined == 32), len(joined))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    first = np.cumsum(n) - n
+    a = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+    b = a + np.repeat(np.minimum(n, words), count) - 1
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), 1 << 16):  # a long text takes several steps
+        s, e = starts[a[i : i + (1 << 16)]], ends[b[i : i + (1 << 16)]]
+        out[i : i + (1 << 16)] = xxh64(joined[s[0] : e[-1]], s - s[0], e - s[0], seed)
+    return out, count
+
+
 # ----------------------------------------------------------------------------- components
 
 

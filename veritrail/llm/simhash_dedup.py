@@ -17,12 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import components, materialize, release, row_key, table, text_slices
+from ._common import components, materialize, row_key, scratch, shingle_hashes, table, text_slices
 
 BITS = 64
 #: Differing bits at which fingerprints link.
@@ -35,32 +34,24 @@ NODE_ROWS = 4096
 WALK_ROWS = 20_000
 #: Node pairs with at most so many leaf pairs are finished by comparing these.
 LEAF_PAIRS = 16
+#: Bytes of text whose shingles are hashed together.
+STEP_BYTES = 1 << 18
 _SEED = 42
 
 
-def _counted(hashes: list[int]) -> np.ndarray:
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    whole = len(bits) // 255 * 255
-    ones = np.add.reduce(bits[whole:], axis=0, dtype=np.int64)
-    if whole:
-        ones += np.add.reduce(np.add.reduce(bits[:whole].reshape(-1, 255, BITS), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
-    return ones
-
-
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit fingerprint of a text's word shingles, as an unsigned number; 0 for no words."""
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(shingle_words, len(words))
-    starts, ends = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), len(starts)
-    for i in range(0, n, 51_000):
-        ones += _counted([digest(joined[s:e], _SEED) for s, e in zip(starts[i : i + 51_000], ends[i : i + 51_000], strict=True)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+def fingerprints_of(texts: list[bytes], shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit fingerprint of each text's word shingles, as an unsigned number; 0 for no words."""
+    hashes, count = shingle_hashes(texts, shingle_words, _SEED)
+    out = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(count)
+    if len(some):
+        ones = np.zeros((len(some), BITS), np.int64)
+        for k, (s, n) in enumerate(zip((np.cumsum(count) - count)[some].tolist(), count[some].tolist(), strict=True)):
+            for i in range(s, s + n, 1 << 16):  # a long text's bits, some at a time
+                bits = np.unpackbits(hashes[i : min(i + (1 << 16), s + n)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[k] += bits.sum(axis=0, dtype=np.uint32)
+        out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
 def _prints(shingle_words: int):
@@ -68,11 +59,10 @@ def _prints(shingle_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
             out = np.empty(batch.num_rows, np.uint64)
-            for i, j, data, off in text_slices(texts):
+            for i, j, data, off in text_slices(batch.column("text"), STEP_BYTES):
                 raw, cut = data.tobytes(), off.tolist()
-                out[i:j] = [fingerprint(raw[cut[r] : cut[r + 1]], shingle_words) for r in range(j - i)]
+                out[i:j] = fingerprints_of([raw[cut[r] : cut[r + 1]] for r in range(j - i)], shingle_words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64)), batch.column("k_id"), batch.column("k_hash")], schema=schema)
 
     return run
@@ -212,15 +202,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest id of the component (null if it has null ids only). Copies share a fingerprint and are not
     paired; an empty table gives an empty result; other columns are not read.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    nodes = dealt_nodes(distinct, budget, node_rows).repartition("node").sortWithinPartitions("node")
-    links = materialize(nodes.mapInArrow(_walk(budget), "u long, v long").distinct(), "simhash-links")
-    roots = components(links, "simhash")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
-    release(links)
+    with scratch() as keep:
+        prints = keep(materialize(fingerprints(docs, id_col, text_col, shingle_words), "simhash-prints"))
+        distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
+        nodes = dealt_nodes(distinct, budget, node_rows).repartition("node").sortWithinPartitions("node")
+        links = materialize(nodes.mapInArrow(_walk(budget), "u long, v long").distinct(), "simhash-links")
+        roots = components(links, "simhash")
+        named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+        named = keep(materialize(named.join(least, "root").select("fp", "root", "component_id"), "simhash-named"))
     return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", "k_id", "k_hash")
 
 

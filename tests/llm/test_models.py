@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from reference_models import AWKWARD, crc, generated, targets
 
@@ -119,10 +120,48 @@ def test_ann_awkward(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (1, [1.0, None]), (2, []), (3, [2.0, 1.0]), (3, [2.0, 1.0]), (None, [1.0, 1.0]), (4, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann_search.nearest_neighbours(df).collect()]
-    assert sorted(got) == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
+    assert sorted(got) == [(0, 1, 3), (0, 2, 3), (0, 3, 20), (20, 1, 3), (20, 2, 3), (20, 3, 0)]  # both rows with id 3 are candidates
     assert ann_search.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def brute_force(rows, k=20, every=20):
+    """(query_id, rank, vec_id) by all pairs; rows: id, vector."""
+    out = []
+    for a, (i, v) in enumerate(rows):
+        if i % every == 0:
+            scores = sorted((-sum(p * q for p, q in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if b != a and len(w) == len(v))
+            out += [(i, n + 1, j) for n, (_, j) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, [1.0, 2.0]) for i in range(60)],  # one vector only: ties go to the smaller id
+    [(i // 2, [float(i % 3), 1.0]) for i in range(70)],  # repeated ids, repeated vectors
+    [(i, [float(i % 7), 1.0, -1.0][: 2 + i % 2]) for i in range(80)],  # two lengths
+], ids=["equal", "repeats", "lengths"])
+def test_ann_ties(spark, rows):
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, row string, list int").repartition(3)
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann_search.nearest_neighbours(df).collect()]
+    assert sorted(got) == brute_force(rows)
+
+
+@pytest.mark.parametrize("spread", [0.25, 3.0], ids=["clusters", "even"])
+def test_ann_recall_of_many(spark, spread):
+    """50,000 vectors in many lists, in clusters and nearly without any."""
+    rng = np.random.default_rng(1)
+    n, dims = 50_000, 32
+    x = (rng.standard_normal((200, dims))[rng.integers(0, 200, n)] + spread * rng.standard_normal((n, dims))).astype(np.float32)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dims + 1, dims, dtype=np.int32)), pa.array(x.ravel()))
+    found = ann_search.nearest_neighbours(spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": flat})), query_every=200).toPandas()
+    x, q = x.astype(np.float64), np.arange(0, n, 200)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-near, axis=1)[:, :20]
+    by = {k: set(v) for k, v in found.groupby("query_id")["vec_id"]}
+    assert len(found) == 20 * len(q)
+    assert sum(len(by[a] & set(t.tolist())) for a, t in zip(q.tolist(), top, strict=True)) / (20 * len(q)) >= 0.9
+
+
 def test_language_held_out(spark, small):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     found = language_id.op4_language_id(spark, small).collect()

@@ -73,9 +73,16 @@ def scan_pieces(rows: DataFrame, find: Callable[[np.ndarray, np.ndarray], tuple[
     return rows.mapInArrow(run, PIECE)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most `rows` rows: what is made of them as Python objects stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _cut_text(cut: Callable[[bytes, list[int], list[int]], list[bytes]], top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[tuple] = []
             size = 0
             for k_id, k_hash, doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("k_id", "k_hash", "doc_id", "text", "found")), strict=True):
@@ -105,7 +112,7 @@ def _halve(sub: Callable[[bytes, int, int], bytes], width: int):
     """Splits pieces by the distance (rel) of a window's start from the anchor: [lo, mid) and [mid, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[tuple] = []
             for k_id, k_hash, doc_id, at, n, key, rel, lo, hi, piece in zip(*(batch.column(c).to_pylist() for c in _TEXT_SCHEMA.names), strict=True):
                 mid = (lo + hi) // 2
@@ -167,7 +174,7 @@ def solve_buckets(kinds: DataFrame, solve: Callable[[list[tuple]], list[tuple]],
             if rows and (out := solve(rows)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        for batch in batches:
+        for batch in in_parts(batches, 2000):
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if held and row[0] != held[-1][0]:
                     if size > batch_bytes:
@@ -180,4 +187,4 @@ def solve_buckets(kinds: DataFrame, solve: Callable[[list[tuple]], list[tuple]],
     return kinds.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, ddl)
 
 
-__all__ = ["mix", "repeated_pieces", "runs", "scan_pieces", "solve_buckets", "source_rows", "window_anchors"]
+__all__ = ["in_parts", "mix", "repeated_pieces", "runs", "scan_pieces", "solve_buckets", "source_rows", "window_anchors"]

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix, table, word_hashes, word_spans
-from ._pieces import BUCKET_PIECES, repeated_pieces, runs, scan_pieces, solve_buckets, source_rows, window_anchors
+from ._common import materialize, mix, scratch, table, word_hashes, word_spans
+from ._pieces import BUCKET_PIECES, in_parts, repeated_pieces, runs, scan_pieces, solve_buckets, source_rows, window_anchors
 
 #: Words of a window, and of a minimiser.
 WINDOW_WORDS = 20
@@ -94,7 +94,7 @@ def _solve(width: int):
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         total, removed, sha = [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             words = (text.as_py() or "").encode().split()
@@ -139,7 +139,8 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     this operator: none is earlier than the other. Texts with fewer words than a window are kept whole. An empty
     table gives an empty result; other columns are not read.
     """
-    spans = materialize(repeated_words(docs, id_col, text_col, **options), "substring-spans")
+    with scratch() as keep:
+        spans = keep(materialize(repeated_words(docs, id_col, text_col, **options), "substring-spans"))
     rows = source_rows(docs, id_col, text_col).join(spans, ["k_id", "k_hash"], "left").select("doc_id", "k_id", "k_hash", "text", "spans")
     return rows.mapInArrow(_apply, "doc_id long, k_id long, k_hash long, n_words long, n_removed long, kept_sha256 string")
 

@@ -15,30 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix, table
-from ._pieces import BUCKET_PIECES, repeated_pieces, runs, scan_pieces, solve_buckets, source_rows, window_anchors
+from ._common import materialize, mix, scratch, table, words_from
+from ._pieces import BUCKET_PIECES, in_parts, repeated_pieces, runs, scan_pieces, solve_buckets, source_rows, window_anchors
 
 #: Bytes of a string, and of the anchors by which passages find their bucket.
 WINDOW_BYTES = 400
 ANCHOR_BYTES = 32
 
 
-def words_at(data: np.ndarray, dtype: str = "<u8") -> np.ndarray:
-    """The 8 bytes from each place on, as a number; the last 7 places have none."""
-    n = len(data) - 7
-    out = np.empty(max(n, 0), np.uint64)
-    for r in range(8):
-        part = data[r : r + (len(data) - r) // 8 * 8]
-        out[r::8] = np.ascontiguousarray(part).view(dtype)
-    return out
-
-
 def _find(width: int, m: int):
     def find(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         none = np.zeros(0, np.int64)
         if len(data) < width:
             return none, none, none, none, np.zeros(0, np.uint64)
-        w = words_at(data)
+        w = words_from(data)
         n = len(data) - m + 1
         g = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
@@ -115,7 +105,7 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
 
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Places of t in the order of at least the first `depth` bytes of their suffixes. t ends in a 0."""
-    words = words_at(np.concatenate((t, np.zeros(depth + 16, np.uint8))), ">u8")
+    words = words_from(np.concatenate((t, np.zeros(depth + 16, np.uint8)))).byteswap()
     small = smaller_than_next(t)
     direct = direct_sort(words, np.flatnonzero(small), depth)
     heads = np.searchsorted(t[direct], np.arange(257))
@@ -145,7 +135,7 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
 
 def equal_neighbours(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For consecutive places of `order`, whether their first `depth` bytes are alike."""
-    words = words_at(np.concatenate((t, np.zeros(8, np.uint8))))
+    words = words_from(np.concatenate((t, np.zeros(8, np.uint8))))
     alike = np.arange(len(order) - 1)
     for r in (*range(0, depth - 7, 8), depth - 8):
         alike = alike[words[order[alike] + r] == words[order[alike + 1] + r]]
@@ -191,7 +181,7 @@ def _solve(width: int):
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_parts(batches):
         total, removed, runs_, sha = [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             raw = (text.as_py() or "").encode()
@@ -237,7 +227,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text are different places. Texts shorter than the string are kept whole. An empty table gives an empty
     result; other columns are not read.
     """
-    spans = materialize(repeated_bytes(docs, id_col, text_col, **options), "suffix-spans")
+    with scratch() as keep:
+        spans = keep(materialize(repeated_bytes(docs, id_col, text_col, **options), "suffix-spans"))
     rows = source_rows(docs, id_col, text_col).join(spans, ["k_id", "k_hash"], "left").select("doc_id", "k_id", "k_hash", "text", "spans")
     return rows.mapInArrow(_apply, "doc_id long, k_id long, k_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

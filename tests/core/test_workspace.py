@@ -38,7 +38,7 @@ def test_workspace(spark, tmp_path):
     got = w.extract_claims(_client)
     assert got["claims"] == first["chunks"] and got["rejected"] >= 1
     assert w.extract_claims(lambda: models.Recorded({}))["claims"] == got["claims"]  # all cached
-    assert w.cluster() == 2 and w.themes(_client) >= 1
+    assert w.cluster() == {"clusters": 2} and w.themes(_client) >= 1 and w.cluster() == {"clusters": 2, "reused": 1}
     text = w.report()
     assert "- **T1** — C (10:00, " in text and "### Agreement — across v1, v2" in text and "https://youtu.be/v1?t=" in text
     said = w.ask("are apples fruit?", _client)
@@ -77,11 +77,11 @@ def test_chain():
 
 def test_adjudicated_clusters(spark):
     rows = spark.createDataFrame([(0, i, f"c{i}", v, f"t{i}", x) for i, (v, x) in enumerate([("a", [1.0, 0.0]), ("a", [0.85, 0.5268]), ("b", [0.8, 0.6]), ("b", [0.0, 1.0])])], "workspace_id long, ord long, claim_id string, video string, claim string, vector array<double>")
-    no = {r.claim_id: r.cluster_id for r in synthesis.cluster_adjudicated(rows, lambda: lambda a, b: False).collect()}
-    yes = {r.claim_id: r.cluster_id for r in synthesis.cluster_adjudicated(rows, lambda: lambda a, b: True).collect()}
+    no = {r.claim_id: r.cluster_id for r in synthesis.cluster_adjudicated(rows, lambda: lambda *_: False).collect()}
+    yes = {r.claim_id: r.cluster_id for r in synthesis.cluster_adjudicated(rows, lambda: lambda *_: True).collect()}
     assert len(set(no.values())) == 4 and yes["c1"] == yes["c0"] == yes["c2"] != yes["c3"]
 
-    def broken(a, b):
+    def broken(*_):
         raise OSError
 
     assert sum(r.errors for r in synthesis.cluster_adjudicated(rows, lambda: broken).collect()) >= 2

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import text as T
 from veritrail.operators import retrieval as R
-from veritrail.sources.models import Client, complete
+from veritrail.sources.models import Client, PairScorer, complete, score_pairs
+from veritrail.sources.store import written
 
 #: Messages of the history that a prompt shows.
 SHOWN_MESSAGES = 12
 # fixed values: the reply that needs no model, and what greets
 NOTHING_FOUND = "I couldn't find any relevant information in this workspace to answer that."
 GREETINGS = ("hi", "hello", "hey", "yo", "hi bhai", "hey bhai", "hello bhai", "hii", "hey there", "namaste", "hola")
+#: Fixed value: the format of a source in a prompt, on which its tokens depend.
+SOURCE = "[Source %d]\nVideo: %s | Channel: %s | Timestamp: %s\n\n%s"
 _RULES = {
     "grounded": "Answer from the sources below and nothing else. Put [Source N] behind every statement. Say so if they do not answer the question.",
     "assist": "Help with the task. Build on the sources below, cite them as [Source N], and say where you add knowledge of your own.",
@@ -27,8 +30,14 @@ def is_greeting(message: Column) -> Column:
     return F.regexp_replace(F.lower(T.strip(message)), r"[!.?]+$", "").isin(*GREETINGS)
 
 
-def source_block(label_no: Column, title: Column, times: Column, text: Column) -> Column:
-    return F.concat(F.format_string("[Source %d] ", label_no), title, F.lit(" ("), times, F.lit(")\n"), text)
+def source_block(label_no: Column, title: Column, channel: Column, times: Column, text: Column) -> Column:
+    """A labelled source as a prompt shows it; its words, heading included, count towards the budget."""
+    return F.format_string(SOURCE, label_no, title, channel, times, text)
+
+
+def greeting_reply(workspace_id: str, mode: str = "grounded") -> str:
+    more = "I can also help you use what is in them." if mode == "assist" else "Every answer cites them."
+    return f"Hello! Ask me about the videos of {workspace_id}. {more}"
 
 
 def contexts(labelled: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def ask(questions: DataFrame, labelled: DataFrame, make_client: Callable[[], Cli
     none = F.array().cast("array<struct<role:string,content:string>>")
     rows = rows.join(history.select("question_id", "history"), "question_id", "left").withColumn("history", F.coalesce("history", none)) if history is not None else rows.withColumn("history", none)
     found = rows.where("context is not null").select("question_id", prompt(F.col("question"), F.col("context"), F.col("history"), mode).alias("prompt"))
-    got = complete(found, make_client, "question_id").select("question_id", "raw", "error")
+    got = written(complete(found, make_client, "question_id").select("question_id", "raw", "error"), "replies")
     rows = rows.join(got, "question_id", "left").withColumn("answer", F.when(F.col("context").isNull(), NOTHING_FOUND).otherwise(F.col("raw")))
     labels = F.coalesce("labels", F.array().cast("array<string>"))
     check = T.verify_citations(F.when(F.col("context").isNull(), "").otherwise(F.coalesce("answer", F.lit(""))), labels)
@@ -67,9 +76,16 @@ def ask(questions: DataFrame, labelled: DataFrame, make_client: Callable[[], Cli
     return rows.select("question_id", "answer", "citation_check", ok.alias("verified"), F.lit(mode).alias("mode"), "source_map", "error")
 
 
-def hybrid_contexts(chunks: DataFrame, questions: DataFrame, fused: DataFrame, keep: int = 8, budget: float = 1500.0) -> DataFrame:
-    """chunks: id, title, times, text. fused: question_id, rank, id. Reranked, deduplicated, labelled and cut to budget."""
+def reranked(chunks: DataFrame, questions: DataFrame, fused: DataFrame, keep: int = 8, make_scorer: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """chunks: id, text. fused: question_id, rank, id. The best of the fused rows by a pair scorer (token overlap, if none
+    is given), with their texts."""
     rows = fused.select("question_id", "rank", "id").join(questions.select("question_id", "question"), "question_id").join(chunks.select("id", "text"), "id")
-    best = R.rerank(rows, keep, R.token_overlap(F.col("question"), F.col("text")))
-    kept = R.deduplicate_context(best).join(chunks.select("id", "title", "times"), "id")
-    return R.within_budget(kept, source_block(F.col("label_no"), F.col("title"), F.col("times"), F.col("text")), budget)
+    if make_scorer is None:
+        return R.rerank(rows, keep, R.token_overlap(F.col("question"), F.col("text")))
+    return R.rerank(score_pairs(rows, "question", "text", "by_model", make_scorer), keep, F.col("by_model"))
+
+
+def hybrid_contexts(chunks: DataFrame, questions: DataFrame, fused: DataFrame, keep: int = 8, budget: float = 1500.0, make_scorer: Callable[[], PairScorer] | None = None) -> DataFrame:
+    """chunks: id, title, channel, times, text. fused: question_id, rank, id. Reranked, deduplicated, labelled and cut to budget."""
+    kept = R.deduplicate_context(reranked(chunks, questions, fused, keep, make_scorer)).join(chunks.select("id", "title", "channel", "times"), "id")
+    return R.within_budget(kept, source_block(F.col("label_no"), F.col("title"), F.col("channel"), F.col("times"), F.col("text")), budget)

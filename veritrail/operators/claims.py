@@ -15,24 +15,29 @@ CLAIM_TYPES = ("recommendation", "opinion", "fact", "prediction", "warning")
 STANCES = ("support", "oppose", "neutral", "mixed")
 RELATIONSHIPS = ("single_source", "agreement", "partial_agreement", "contradiction", "different_context", "independent")
 WITHIN_MERGE = 0.87
+#: A whole claim, as it is cached.
+CLAIM = "struct<claim:string,claim_type:string,stance:string,evidence:array<struct<chunk_id:string,evidence_text:string>>,topics:array<string>>"
 _REPLY = "array<struct<video_id:string,claim:string,claim_type:string,stance:string,evidence:array<struct<chunk_id:string,evidence_text:string>>,topics:array<string>>>"
 
 
 def validate_claims(replies: DataFrame, chunks: DataFrame) -> DataFrame:
-    """replies: reply_id, raw. chunks: chunk_id. One row per claim with `reason` (null: accepted), the first check that
-    fails of type, stance, evidence present, every cited chunk known; a reply that is not a JSON array is one rejection."""
+    """replies: reply_id (unique), raw. chunks: chunk_id. One row per claim, whole, with `reason` (null: accepted), the
+    first check that fails of type, stance, evidence present, every cited chunk known; a reply that is not a JSON array
+    is one rejection. Each reply is parsed once."""
     body = T.strip_fence(F.col("raw"))
     parsed = replies.select("reply_id", "raw", F.when(body.startswith("["), F.from_json(body, _REPLY)).alias("claims"))
-    bad = parsed.where("claims is null").select("reply_id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("claim"), F.lit("invalid_json").alias("reason"), F.substring("raw", 1, 200).alias("raw"))
-    rows = parsed.where("claims is not null").select("reply_id", F.posexplode("claims").alias("pos", "c"))
-    cited = rows.select("reply_id", "pos", F.explode("c.evidence").alias("e")).select("reply_id", "pos", F.col("e.chunk_id").alias("chunk_id"))
-    unknown = cited.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").select("reply_id", "pos", F.lit(True).alias("unknown")).distinct()
+    rows = parsed.select("reply_id", F.col("claims").isNull().alias("bad"), F.when(F.col("claims").isNull(), F.substring("raw", 1, 200)).alias("raw"), F.posexplode_outer("claims").alias("pos", "c")).where("bad or pos is not null")
+    rows = rows.select("reply_id", F.coalesce("pos", F.lit(0)).alias("pos"), "bad", "raw", "c", F.explode_outer("c.evidence").alias("e")).withColumn("cited", F.col("e.chunk_id"))
+    known = chunks.select(F.col("chunk_id").alias("cited"), F.lit(True).alias("known")).distinct()
+    one = rows.join(known, "cited", "left").groupBy("reply_id", "pos").agg(
+        F.first("bad").alias("bad"), F.first("raw").alias("raw"), F.first("c").alias("c"), F.bool_and(F.col("e").isNull() | F.coalesce("known", F.lit(False))).alias("sound")
+    )
+    is_one_of = lambda c, names: F.coalesce(F.col(c).isin(*names), F.lit(False))
     reason = (
-        F.when(~F.coalesce(F.col("c.claim_type").isin(*CLAIM_TYPES), F.lit(False)), "invalid_claim_type").when(~F.coalesce(F.col("c.stance").isin(*STANCES), F.lit(False)), "invalid_stance")
-        .when(F.coalesce(F.size("c.evidence"), F.lit(0)) <= 0, "no_evidence").when(F.col("unknown"), "unknown_chunk")
+        F.when(F.col("bad"), "invalid_json").when(~is_one_of("c.claim_type", CLAIM_TYPES), "invalid_claim_type").when(~is_one_of("c.stance", STANCES), "invalid_stance")
+        .when(F.coalesce(F.size("c.evidence"), F.lit(0)) <= 0, "no_evidence").when(~F.col("sound"), "unknown_chunk")
     )
-    good = rows.join(unknown, ["reply_id", "pos"], "left").select("reply_id", "pos", F.col("c.claim").alias("claim"), reason.alias("reason"), F.lit(None).cast("string").alias("raw"))
-    return good.unionByName(bad)
+    return one.select("reply_id", "pos", F.col("c.claim").alias("claim"), reason.alias("reason"), "raw", "c.claim_type", "c.stance", "c.evidence", "c.topics")
 
 
 def batches(chunks: DataFrame, by: str, order: str, size: int = 5) -> DataFrame:
@@ -45,7 +50,7 @@ def cache_misses(chunks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def claims_from_cache(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """The cached claims of the chunks, with ids numbered within a chunk; order is (ord, pos)."""
+    """The cached claims of the chunks, texts or whole ones, with ids numbered within a chunk; order is (ord, pos)."""
     rows = chunks.join(cache, "content_hash").select("ord", "chunk_id", "content_hash", F.posexplode("claims").alias("pos", "claim"))
     return rows.withColumn("claim_id", F.format_string("%s_claim%d", "chunk_id", "pos"))
 
@@ -82,7 +87,9 @@ def cluster_greedy(claims: DataFrame, threshold: float = WITHIN_MERGE) -> DataFr
             out.append(best)
         return pdf.assign(cluster_no=out)[["workspace_id", "ord", "claim_id", "cluster_no"]]
 
-    return claims.select("workspace_id", "ord", "claim_id", "video", "vector").groupBy("workspace_id").applyInPandas(fold, "workspace_id long, ord long, claim_id long, cluster_no long")
+    kinds = dict(claims.dtypes)
+    schema = f"workspace_id {kinds['workspace_id']}, ord {kinds['ord']}, claim_id {kinds['claim_id']}, cluster_no long"
+    return claims.select("workspace_id", "ord", "claim_id", "video", "vector").groupBy("workspace_id").applyInPandas(fold, schema)
 
 
 def theme_pairs(claims: DataFrame, floor: float) -> DataFrame:

@@ -10,9 +10,10 @@ from veritrail.functions import text as T
 
 TARGET_WORDS = 180
 OVERLAP_WORDS = 25
+# fixed values: the formats of a transcript's markers and of a chapter's line
 _MARKER = r"\[(?:(\d{1,2}):)?(\d{1,2}):(\d{2})\]\s*(?:(Speaker \d+):)?\s*"
-_FIELD, _RECORD = "\x1f", "\x1e"
 _CHAPTER = r"(?md)^(?:(\d{1,2}):)?(\d{1,2}):(\d{2})\s+([^\n]+)$"
+_FIELD, _RECORD = "\x1f", "\x1e"
 
 
 def parse_transcripts(videos: DataFrame, key: str = "video_id", transcript: str = "transcript") -> DataFrame:
@@ -107,6 +108,6 @@ def pack_chunks(videos: DataFrame, key: str = "video_id", sentence_list: str = "
 def new_chunks(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """incoming: video_ord, content_hash, ...; keeps chunks whose hash is neither in existing nor in an earlier
     video of incoming. Repeats inside one video stay."""
-    fresh = incoming.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    owner = fresh.groupBy("content_hash").agg(F.min("video_ord").alias("owner"))
-    return fresh.join(owner, "content_hash").where("video_ord = owner").drop("owner")
+    owners = incoming.select("content_hash", F.col("video_ord").alias("owner"), F.lit(False).alias("old")).unionByName(existing.select("content_hash", F.lit(None).cast("long").alias("owner"), F.lit(True).alias("old")))
+    owners = owners.groupBy("content_hash").agg(F.min("owner").alias("owner"), F.bool_or("old").alias("old")).where("not old").select("content_hash", "owner")
+    return incoming.join(owners, "content_hash").where("video_ord = owner").drop("owner")

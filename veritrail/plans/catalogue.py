@@ -36,6 +36,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take much work, over all cores."""
+    return store.spread(_t(spark, sf_dir, name), f"{sf_dir}/{name}.parquet")
+
+
 # ----------------------------------------------------------------------------- SQL parts
 
 _TOK = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
@@ -69,7 +74,7 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @query(_BM25 + _bm25_sql("a", 25, 0.75) + " SELECT question_id, rank, doc_id, score FROM a")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(R.bm25_top_k(_t(spark, sf_dir, "documents"), _questions(spark, sf_dir), 25))
+    return _ranked(R.bm25_top_k(_spread(spark, sf_dir, "documents"), _questions(spark, sf_dir), 25))
 
 
 @query("""SELECT q.vec_id AS question_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank,
@@ -89,7 +94,7 @@ _FUSE = """
 
 @query(_BM25 + _bm25_sql("a", 25, 0.75) + "," + _bm25_sql("b", 25, 0.0) + "," + _FUSE.format(name="f", a="a", b="b", k=25) + " SELECT question_id, rank, doc_id, score FROM f")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = _t(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    d, q = _spread(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     lists = [R.bm25_top_k(d, q, 25, b=b) for b in (0.75, 0.0)]
     return _ranked(R.reciprocal_rank_fusion(lists, 25, "doc_id").withColumnRenamed("id", "doc_id"))
 
@@ -102,7 +107,7 @@ _HYBRID = _BM25 + _bm25_sql("a", 25, 0.75) + "," + _VECTORS + _FUSE.format(name=
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, q = _t(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    d, q = _spread(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     index = d.select(F.col("doc_id").alias("id"), R.bag_of_words(F.coalesce("text", F.lit(""))).alias("vector"))
     asked = q.select("question_id", R.bag_of_words(F.col("question")).alias("vector"))
     vec = R.vector_top_k(index, asked, 25)
@@ -162,8 +167,7 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM lab JOIN documents USING (doc_id))) WHERE label_no = 1 OR upto <= 1500""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _deduplicated(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    block = F.format_string("[Source %d]\nVideo: %s | Channel: %s | Timestamp: 0:00\n\n%s", "label_no", "source", "lang", "text")
-    return R.within_budget(rows, block).select("question_id", "label_no", "doc_id", "upto", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
+    return R.within_budget(rows, answers.source_block(F.col("label_no"), F.col("source"), F.col("lang"), F.lit("0:00"), F.col("text"))).select("question_id", "label_no", "doc_id", "upto", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60) ELSE format('{}:{:02d}', s // 60, s % 60) END AS label
@@ -208,7 +212,7 @@ _SENTENCES = f"sent AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s
 
 @query(f"WITH {_SENTENCES} SELECT doc_id, pos, sentence FROM sent")
 def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    rows = _spread(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
@@ -216,7 +220,7 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, pos, words, round(600.0 * (coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / greatest(sum(words) OVER (PARTITION BY doc_id), 1), 6) AS start_seconds,
       round(600.0 * (sum(words) OVER (PARTITION BY doc_id ORDER BY pos)) / greatest(sum(words) OVER (PARTITION BY doc_id), 1), 6) AS end_seconds FROM w""")
 def sentence_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ord"), F.lit(0.0).alias("start_seconds"), F.lit(None).cast("double").alias("end_seconds"), "text")
+    segments = _spread(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ord"), F.lit(0.0).alias("start_seconds"), F.lit(None).cast("double").alias("end_seconds"), "text")
     rows = P.sentence_times(segments, "doc_id", F.lit(600.0))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("words").cast("long").alias("words"), "start_seconds", "end_seconds")
 
@@ -243,7 +247,7 @@ _PACK = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, x, list_transform(x
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").where("text is not null")
+    d = _spread(spark, sf_dir, "documents").where("text is not null")
     unit = lambda x: F.struct(x.alias("text"), T.word_count(x).alias("words"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"))
     rows = d.select("doc_id", F.transform(T.sentences(F.col("text")), unit).alias("sentences"))
     return P.pack_chunks(rows, "doc_id").withColumn("chunk_index", F.col("chunk_index").cast("long"))
@@ -287,7 +291,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         _nth(["support", "oppose", "neutral", "mixed", "unsure"], e % 5).alias("stance"), evidence.alias("evidence"), F.array(F.lit("t")).alias("topics"),
     )
     raw = F.when(e % 11 == 0, F.col("props")).otherwise(F.concat(F.lit("```json\n"), F.to_json(F.array(claim)), F.lit("\n```")))
-    return _t(spark, sf_dir, "events").select(e.alias("reply_id"), raw.alias("raw"))
+    return _spread(spark, sf_dir, "events").select(e.alias("reply_id"), raw.alias("raw"))
 
 
 @query(f"""SELECT event_id AS reply_id, 0 AS pos, CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS claim,
@@ -403,7 +407,7 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions are benchmark items; a document is expected that holds the item's text. Candidates meet by the rarest
     token of the item's inner words, which any text that holds the item has."""
-    d, q = _t(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    d, q = _spread(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     w = T.words(F.col("question"))
     inner = q.select("question_id", "question", F.explode(T.tokens(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))).alias("token"))
     post = R.postings(d)
@@ -496,6 +500,6 @@ def report_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_cited(spark, sf_dir).select("claim_id", "source", "line")
 
 
-@query(r"SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[!.?]+$', '') IN ('hi', 'hello', 'hey', 'yo', 'hi bhai', 'hey bhai', 'hello bhai', 'hii', 'hey there', 'namaste', 'hola') AS greets FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '[!.?]+$', '') IN (" + ", ".join(f"'{g}'" for g in answers.GREETINGS) + ") AS greets FROM conversations")
 def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", answers.is_greeting(F.col("text")).alias("greets"))

@@ -150,8 +150,10 @@ def serve(service: Service, port: int, host: str = "127.0.0.1") -> None:
         def answer(self) -> None:
             size = int(self.headers.get("Content-Length") or 0)
             try:
-                body = json.loads(self.rfile.read(size)) if 0 < size <= MOST_BYTES else {}
-                status, reply = service.respond(self.command, self.path, body)
+                if size > MOST_BYTES:
+                    status, reply, self.close_connection = 413, {"detail": f"a body has {MOST_BYTES} bytes at most"}, True
+                else:
+                    status, reply = service.respond(self.command, self.path, json.loads(self.rfile.read(size)) if size > 0 else {})
             except ValueError:
                 status, reply = 422, {"detail": "the body must be JSON"}
             raw = json.dumps(reply, ensure_ascii=False, default=str).encode()

@@ -7,6 +7,7 @@ has a recorded one, which answers from a table.
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator, Mapping
 
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 Client = Callable[[str], str]
+Embedder = Callable[[list[str]], list]  # texts to vectors
+PairScorer = Callable[[list[tuple[str, str]]], list[float]]  # (question, text) pairs to scores
 
 # fixed values: providers that "auto" looks for, in order, and what it falls back to; passes; seconds of back-off
 CLOUD = ("gemini", "mistral", "grok")
@@ -90,3 +93,41 @@ def complete(prompts: DataFrame, make_client: Callable[[], Client], key: str, ta
 
     rows = prompts.select(key, "prompt")
     return (rows.repartition(tasks) if tasks else rows).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, prompt string, raw string, error string")
+
+
+_loaded: dict = {}
+_loading = threading.Lock()
+
+
+def loaded(make: Callable):
+    """What `make` returns, made once in each worker process. Functions of one module and name are one."""
+    key = (make.__module__, make.__qualname__)
+    with _loading:
+        if key not in _loaded:
+            _loaded[key] = make()
+        return _loaded[key]
+
+
+def embed(rows: DataFrame, text: str, vector: str, make_embedder: Callable[[], Embedder], prefix: str = "") -> DataFrame:
+    """rows with `vector`: their texts' embeddings, a batch at a time. prefix: what a model wants before a query. A null
+    text is embedded as an empty one."""
+    schema = rows.schema.add(vector, "array<double>")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(make_embedder)
+        for pdf in batches:
+            yield pdf.assign(**{vector: [[float(x) for x in v] for v in model([prefix + (t or "") for t in pdf[text]])] if len(pdf) else []})
+
+    return rows.mapInPandas(run, schema)
+
+
+def score_pairs(rows: DataFrame, question: str, text: str, score: str, make_scorer: Callable[[], PairScorer]) -> DataFrame:
+    """rows with `score`: a model's score of each (question, text) pair."""
+    schema = rows.schema.add(score, "double")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(make_scorer)
+        for pdf in batches:
+            yield pdf.assign(**{score: [float(x) for x in model(list(zip(pdf[question].fillna(""), pdf[text].fillna(""), strict=True)))] if len(pdf) else []})
+
+    return rows.mapInPandas(run, schema)

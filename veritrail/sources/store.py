@@ -1,12 +1,16 @@
 """Scans, sinks and workspace tables.
 
-Tables of a workspace are Parquet folders partitioned by workspace_id. What is overwritten is never what the plan
-reads: a new version is written beside the old one and the pointer file is switched.
+Tables of a workspace are Parquet folders partitioned by workspace_id. A new version of a partition is written whole
+beside the table, where no reader looks, and then takes the old one's place by renaming.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,10 @@ RAW = (
 )
 
 
+#: Bytes of a table for each core up to which it is dealt out again.
+SPREAD_BYTES = 64 << 20
+
+
 def checked_workspace(workspace_id: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9_-]+", workspace_id):
         raise ValueError(f"not a workspace id: {workspace_id!r}")
@@ -35,11 +43,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """df, a table at path, over all cores. Files of one row group are read by one task each; a table that leaves each
+    core at most SPREAD_BYTES is dealt out again, a larger one has files enough."""
+    spark = df.sparkSession
+    fs, at = _fs(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if fs.getContentSummary(at).getLength() <= cores * SPREAD_BYTES else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written into the folder that driver and executors share, and read from there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'veritrail-shared')}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_videos(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of {metadata, transcript}; anything else at the root is an error. Videos without a transcript go."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1).alias("c")).where("c <> '['").limit(1).count()
-    if first:
-        raise ValueError("the root of a video file must be a JSON array")
+    fs, at = _fs(spark, path)
+    files = [x.getPath() for x in fs.listStatus(at) if x.isFile() and x.getPath().getName()[0] not in "._"] if fs.getFileStatus(at).isDirectory() else [at]
+    for file in files:  # few: a video file is written by hand or by one transcription
+        stream = fs.open(file)
+        try:
+            c = stream.read()
+            while c in (0x20, 0x09, 0x0A, 0x0D, 0xEF, 0xBB, 0xBF):
+                c = stream.read()
+        finally:
+            stream.close()
+        if c != ord("["):
+            raise ValueError("the root of a video file must be a JSON array")
     raw = spark.read.schema(RAW).option("multiLine", True).json(path).where("length(transcript) > 0")
     m = lambda k, d="": F.coalesce(F.col(f"metadata.{k}"), F.lit(d)).alias(k)
     return raw.select(m("video_id"), m("title", "Untitled"), m("channel", "Unknown"), F.coalesce("metadata.duration_seconds", F.lit(0)).alias("duration_seconds"), m("upload_date"), F.coalesce("metadata.tags", F.array().cast("array<string>")).alias("tags"), m("description"), "transcript")
@@ -70,6 +109,22 @@ def overwrite_workspace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id").parquet(path)
 
 
+def replace_workspace(df: DataFrame, path: str, workspace_id: str) -> None:
+    """df, without workspace_id, becomes this workspace's partition, also where it has no rows. A plan that reads the
+    old one may make it: nothing is replaced before the new one is whole."""
+    checked_workspace(workspace_id)
+    fs, new = _fs(df.sparkSession, f"{path}/_new-{uuid.uuid4().hex}")
+    place = lambda p: _fs(df.sparkSession, p)[1]
+    df.write.parquet(new.toString())
+    old, at = place(f"{path}/_old-{uuid.uuid4().hex}"), place(f"{path}/workspace_id={workspace_id}")
+    if fs.exists(at):
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        fs.rename(old, at)
+        raise OSError(f"{new} can't be renamed to {at}")
+    fs.delete(old, True)
+
+
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -122,3 +177,25 @@ def signatures(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     line = F.concat(F.col(order).cast("string"), F.lit(":"), F.col(value))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), ",")
     return rows.groupBy(by).agg(F.substring(F.sha2(joined.cast("binary"), 256), 1, 16).alias("signature"))
+
+
+def fingerprint(rows: DataFrame, *settings) -> str:
+    """A short hash of a step's input rows, in any order, and its settings: whether the step would see anything new."""
+    h = F.xxhash64(F.lit(1), F.to_json(F.struct("*"))), F.xxhash64(F.lit(2), F.to_json(F.struct("*")))
+    seen = rows.select(h[0].alias("a"), h[1].alias("b")).agg(F.count("*"), F.bit_xor("a"), F.bit_xor("b"), F.sum(F.col("a") % 1_000_003)).first()
+    return hashlib.sha256(repr((tuple(seen), settings)).encode()).hexdigest()[:16]
+
+
+def read_signature(spark: SparkSession, path: str) -> str | None:
+    fs, at = _fs(spark, path)
+    return spark.read.text(path).first()[0] if fs.exists(at) else None
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in place of another."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_key, table, text_slices
+from ._common import bounded_sample, row_key, table, text_slices
 
-#: Labelled rows that training takes at most (those with the smallest hashes of their ids), and their bytes of text.
-SAMPLE_ROWS = 3000
+#: Labelled rows that training takes at most, their bytes of text, and characters of a text (see `bounded_sample`).
+SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 30_000_000
+SAMPLE_WINDOW = 1 << 17
 FEATURES = 1 << 13
 EPOCHS = 12
 LAMBDA = 1e-4
@@ -153,18 +154,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on a bounded sample of the rows with a language that are not held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(2), "id"))
-    # the hashes come first, without texts: only the sample's texts are moved
-    most = rows.select("h").orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    picked = sorted(rows.where(F.col("h") <= most).collect(), key=lambda r: (r["h"], r["lang"], r["text"]))[:SAMPLE_ROWS] if most is not None else []
-    x, lang, total = np.zeros((len(picked), FEATURES), np.float32), [], 0
-    for r in picked:
+    picked = bounded_sample(rows, 2, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOW)
+    x = np.zeros((len(picked), FEATURES), np.float32)
+    for k, r in enumerate(picked):
         raw = np.frombuffer(r["text"].encode(), np.uint8)
-        if total + len(raw) <= SAMPLE_BYTES:
-            total += len(raw)
-            x[len(lang)] = features(raw, np.array([0, len(raw)]))[0]
-            lang.append(r["lang"])
-    return fit(x[: len(lang)], lang)
+        x[k] = features(raw, np.array([0, len(raw)]))[0]
+    return fit(x, [r["lang"] for r in picked])
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Hierarchy | None = None) -> DataFrame:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_key, table, text_slices, word_hashes, word_spans
+from ._common import bounded_sample, row_key, table, text_slices, word_hashes, word_spans
 
-#: Labelled rows that training takes at most (those with the smallest hashes of their ids).
-SAMPLE_ROWS = 6000
-#: Bytes of text of the sample, at most: a row whose text does not fit is left out of the sample.
+#: Labelled rows that training takes at most, their bytes of text, and characters of a text (see `bounded_sample`).
+SAMPLE_ROWS = 8000
 SAMPLE_BYTES = 30_000_000
+SAMPLE_WINDOW = 1 << 17
 #: Hash space of words and stems. Those that at least RARE sampled rows have get an embedding, all others share
 #: a zero one, so that words that training never saw say nothing.
 BUCKETS = 1 << 22
@@ -36,6 +36,8 @@ STEMS = (4, 5, 6)
 #: (width, filters) of the convolutions.
 FILTERS = ((1, 16), (2, 8), (3, 8))
 EPOCHS = 4
+#: Toxic rows at which a threshold counts half: a language's against that of all languages, and that against 0.
+HALF_ROWS = 10
 #: Words of training rows that one optimiser step takes.
 STEP_WORDS = 6000
 #: Bytes of text that are scored at once.
@@ -132,7 +134,7 @@ def frequent(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for part in np.split(ids, np.cumsum(counts)[:-1]):
         seen[np.unique(part)] += 1
     lookup = np.zeros(BUCKETS, np.int32)
-    kept = np.flatnonzero(seen >= (RARE if len(counts) >= 1000 else 2))
+    kept = np.flatnonzero(seen >= RARE)
     lookup[kept] = np.arange(1, len(kept) + 1)
     return lookup
 
@@ -208,16 +210,18 @@ def fit(ids: np.ndarray, counts: np.ndarray, label: np.ndarray, lookup: np.ndarr
     return model
 
 
-def _threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the best F1, in the middle of its gap; 0 where one class is missing."""
-    if len(label) < 8 or label.min() == label.max():
-        return 0.0
+def _threshold(logit: np.ndarray, label: np.ndarray, prior: float) -> float:
+    """The cut with the best F1, in the middle of its gap, drawn towards the prior: the fewer rows of label 1 set it, the
+    more. Where a class is missing it is the prior."""
+    n = int(label.sum())
+    if n in (0, len(label)):
+        return prior
     order = np.argsort(-logit, kind="stable")
     hits = np.cumsum(label[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + label.sum())
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + n)
     k = int(np.argmax(f1))
     low = logit[order[k + 1]] if k + 1 < len(order) else logit[order[k]] - 1
-    return float((logit[order[k]] + low) / 2)
+    return float((n * (logit[order[k]] + low) / 2 + HALF_ROWS * prior) / (n + HALF_ROWS))
 
 
 def _language_table(ids: np.ndarray, counts: np.ndarray, lang: np.ndarray, n: int, rows: int) -> np.ndarray:
@@ -239,23 +243,28 @@ def guess_language(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np
 
 
 def _sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """text_words of the texts, some at a time."""
-    ids, counts = [], []
-    for i in range(0, len(texts), 200):
-        data = [t.encode() for t in texts[i : i + 200]]
+    """text_words of the texts, some at a time; texts is emptied meanwhile."""
+    ids, at, counts = np.empty((sum(map(len, texts)) // 4 + 1, 1 + len(STEMS)), np.int32), 0, []
+    texts.reverse()
+    while texts:
+        data = [texts.pop().encode() for _ in range(min(50, len(texts)))]
         off = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
         part, n = text_words(np.frombuffer(b"".join(data), np.uint8), off)
-        ids.append(part)
+        if at + len(part) > len(ids):
+            ids.resize((max(at + len(part), len(ids) * 3 // 2), ids.shape[1]), refcheck=False)
+        ids[at : at + len(part)] = part
+        at += len(part)
         counts.append(n)
-    return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros((0, 1 + len(STEMS)), np.int32), np.zeros(0, np.int64))
+    ids.resize((at, ids.shape[1]), refcheck=False)
+    return ids, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
 def train(texts: list[str], label: np.ndarray, lang: list[str]) -> Cnn:
     """Fits on three rows of four; the thresholds of the languages are set on the fourth."""
     order = sorted(range(len(texts)), key=lambda k: k % 4 != 0)  # the fourth first, so that parts are views
-    ids, counts = _sample_words([texts[k] for k in order])
+    texts[:] = [texts[k] for k in order]
+    ids, counts = _sample_words(texts)
     label, lang = label[order], [lang[k] for k in order]
-    texts.clear()
     names = sorted(set(lang))
     code = np.array([names.index(x) for x in lang], np.int64)
     fold = -(-len(label) // 4)
@@ -267,10 +276,11 @@ def train(texts: list[str], label: np.ndarray, lang: list[str]) -> Cnn:
     if len(label):
         model.lang_words = _language_table(ids, counts, code, len(names), len(model.embed))
         guess = guess_language(ids[:cut], counts[:fold], model.lang_words)
-        z = logits(ids[:cut], counts[:fold], model, model.responses())
+        tables, ends = model.responses(), np.concatenate(([0], np.cumsum(counts[:fold])))
+        z = np.concatenate([logits(ids[ends[i] : ends[min(i + 100, fold)]], counts[i : min(i + 100, fold)], model, tables) for i in range(0, fold, 100)])
         y = label[:fold]
-        pooled = _threshold(z, y)
-        model.thresholds = np.array([_threshold(z[guess == k], y[guess == k]) if (y[guess == k] == 1).sum() >= 20 else pooled for k in range(len(names))])
+        pooled = _threshold(z, y, 0.0)
+        model.thresholds = np.array([_threshold(z[guess == k], y[guess == k], pooled) for k in range(len(names))])
     return model
 
 
@@ -288,24 +298,12 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> tuple[list[str], np.ndarray, list[str]]:
-    """A bounded sample of the labelled rows that are not held out, by the smallest hashes of their ids."""
+    """A bounded sample of the labelled rows that are not held out: texts, labels, languages."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    known = known.withColumn("h", F.xxhash64(F.lit(1), "id"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     rows = rows.where(~held_out("id") & (F.octet_length("text") > 0))
-    # the hashes come first, without texts: only the sample's texts are moved
-    hashes = rows.select("id").join(known, "id").orderBy("h").limit(SAMPLE_ROWS)
-    most = hashes.agg(F.max("h")).first()[0]
-    picked = rows.where(F.xxhash64(F.lit(1), "id") <= most).join(known.where(F.col("h") <= most), "id").collect() if most is not None else []
-    picked = sorted(picked, key=lambda r: (r["h"], r["text"]))[:SAMPLE_ROWS]
-    texts, label, lang, total = [], [], [], 0
-    for r in picked:
-        if total + len(r["text"]) <= SAMPLE_BYTES:
-            total += len(r["text"])
-            texts.append(r["text"])
-            label.append(int(r["label"] == 1))
-            lang.append(r["lang"])
-    return texts, np.array(label, np.int64), lang
+    picked = bounded_sample(rows, 1, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOW, known)
+    return [r["text"] for r in picked], np.array([r["label"] == 1 for r in picked], np.int64), [r["lang"] for r in picked]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", model: Cnn | None = None) -> DataFrame:

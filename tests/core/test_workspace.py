@@ -1,15 +1,19 @@
 """A workspace from raw videos to a report, with recorded models; the client chain; transcription around fixtures."""
 
+import http.client
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from veritrail import cli
-from veritrail.service import Service
+from veritrail.service import MOST_BYTES, Service, serve
 from veritrail.operators import answers, synthesis
-from veritrail.sources import models, video
-from veritrail.workspace import Workspace, workspaces
+from veritrail.operators import claims as C
+from veritrail.sources import models, store, video
+from veritrail.workspace import Models, Workspace, workspaces
 
 PARTS = " ".join(f"Sentence number {i} says apples and pears are fruit." for i in range(60))
 
@@ -133,3 +137,104 @@ def test_synthesize_clusters(spark):
     got = {r.cluster_id: r for r in synthesis.synthesize_clusters(claims, _client).collect()}
     assert (got["c1"].relationship, got["c1"].synthesis_note, got["c1"].status) == ("agreement", "both", "ok")
     assert (got["c2"].relationship, got["c2"].synthesis_note, got["c2"].status) == ("single_source", None, "ok")
+
+
+def _chunks(spark, n=7):
+    rows = [("v1", i, f"v1_c{i:04d}", f"h{i}", f"text {i}") for i in range(n)]
+    return spark.createDataFrame(rows, "video_id string, ord long, chunk_id string, content_hash string, text string")
+
+
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Whatever reads the replies, a model gets each prompt once; a chunk of a failed batch is asked again."""
+    asked, answer = spark.sparkContext.accumulator(0), _client()
+
+    def counting():
+        def client(prompt):
+            asked.add(1)
+            if "v1_c0005" in prompt:
+                raise OSError("down")
+            return answer(prompt)
+
+        return client
+
+    cache = spark.createDataFrame([], f"content_hash string, claims array<{C.CLAIM}>")
+    fresh, rejected = synthesis.extract_claims(_chunks(spark), cache, counting)
+    got = {r.content_hash: r.claims for r in fresh.collect()}
+    assert (fresh.count(), rejected.count()) == (5, 1) and asked.value == 2
+    assert set(got) == {f"h{i}" for i in range(5)}
+    assert got["h3"][0].claim_type == "fact" and got["h3"][0].stance == "support" and got["h3"][0].evidence[0].chunk_id == "v1_c0003"
+    again, _ = synthesis.extract_claims(_chunks(spark), fresh, _client)
+    assert {r.content_hash for r in again.collect()} == {"h5", "h6"}
+
+
+def test_a_step_without_rows_replaces_the_old_ones(spark, tmp_path):
+    for rows in ([("x", 1)], [], [("y", 2)]):
+        df = spark.createDataFrame(rows, "a string, b int")
+        store.replace_workspace(df, f"{tmp_path}/t", "w")
+        got = store.read_optional(spark, f"{tmp_path}/t", "workspace_id string, a string, b int").where("workspace_id = 'w'")
+        assert [(r.a, r.b) for r in got.collect()] == rows
+        store.replace_workspace(got.drop("workspace_id"), f"{tmp_path}/t", "w")  # the plan reads what it replaces
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1 and [p.name for p in (tmp_path / "t").iterdir()] == ["workspace_id=w"]
+
+
+def test_merge_replies():
+    assert synthesis.merges('```json\n{"merge": true}\n```') and not synthesis.merges("{}")
+    for bad in ("yes", "[true]"):
+        with pytest.raises(ValueError):
+            synthesis.merges(bad)
+    agrees = synthesis.asking(lambda: lambda prompt: json.dumps({"merge": "Said in: x" in prompt}))()
+    assert agrees("a", "b", "x", "") and not agrees("a", "b", "", "")
+
+
+def _embedder():
+    return lambda texts: [[float("query: " in t), float("apple" in t), 0.1] for t in texts]
+
+
+def _scorer():
+    return lambda pairs: [float(len(t)) for _, t in pairs]
+
+
+def test_models_of_a_workspace(spark, tmp_path):
+    """A chain of embedder and scorer; evaluation reranks fused lists; results become a file."""
+    src = tmp_path / "in.json"
+    src.write_text(json.dumps([{"metadata": {"video_id": "v1", "title": "T" * 80, "channel": "C", "duration_seconds": 600, "description": "0:00 Start\n5:00 Later"}, "transcript": f"[00:00] {PARTS}"}]))
+    w = Workspace(spark, str(tmp_path / "w"), "demo", Models(_embedder, _scorer, "query: "))
+    first = w.ingest(str(src))
+    assert first["skipped"] == 0 and w.ingest(str(src))["videos_skipped"] == 1
+    assert {r.nearest_chapter_title for r in w.table("chunks").collect()} == {"Start", "Later"}
+    assert w.index() == first["chunks"] and w.table("vectors").first().vector[0] == 0.0
+    assert w._embedded(spark.createDataFrame([("x",)], "q string"), "q", "query: ").first().vector == [1.0, 0.0, 0.1]
+    ev = tmp_path / "ev.json"
+    ev.write_text(json.dumps([{"question": "apples", "category": "c", "expected_chunk_ids": ["v1_c0000"]}]))
+    found = {r["category"]: r["n"] for r in w.evaluate(str(ev), str(tmp_path / "out"))}
+    assert found == {"(all)": 1, "c": 1}
+    told = spark.read.json(str(tmp_path / "out")).first()
+    longest = {r.chunk_id: len(r.text) for r in w.table("chunks").collect()}
+    assert [longest[c] for c in told.retrieved_top5] == sorted(longest.values(), reverse=True)[:5]
+    assert w.ask("Hello!", _client)["answer"].startswith("Hello") and w.status()["messages"] is None
+    w.extract_claims(_client)
+    got = w.cluster(synthesis.asking(lambda: lambda prompt: '{"merge": false}'))
+    assert got["within_auto_merges"] > 0 and got["adjudication_errors"] == 0
+    assert w.synthesize(_client) == {"clusters": got["clusters"], "across": 0, "themes": 0}
+    assert w.synthesize(lambda: models.Recorded({}))["clusters"] == got["clusters"]
+    assert w.report(str(tmp_path / "report.md")) == (tmp_path / "report.md").read_text() and w.titles() == ["T" * 60 + " (C)"]
+    assert workspaces(spark, f"{tmp_path}/w")[0]["titles"] == "T" * 40
+
+
+def test_large_bodies_are_refused(spark, tmp_path):
+    service = Service(spark, str(tmp_path), _client, lambda url: {})
+    port = 18753
+    threading.Thread(target=lambda: serve(service, port), daemon=True).start()
+    for _ in range(50):
+        try:
+            c = http.client.HTTPConnection("127.0.0.1", port, timeout=10)
+            c.request("GET", "/health")
+            break
+        except OSError:
+            time.sleep(0.1)
+    assert json.loads(c.getresponse().read()) == {"status": "ok"}
+    c = http.client.HTTPConnection("127.0.0.1", port, timeout=10)
+    c.putrequest("POST", "/chat")
+    c.putheader("Content-Length", str(MOST_BYTES + 1))
+    c.endheaders()
+    assert c.getresponse().status == 413

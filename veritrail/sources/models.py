@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 Client = Callable[[str], str]
 Embedder = Callable[[list[str]], list]  # texts to vectors
@@ -111,7 +112,7 @@ def loaded(make: Callable):
 def embed(rows: DataFrame, text: str, vector: str, make_embedder: Callable[[], Embedder], prefix: str = "") -> DataFrame:
     """rows with `vector`: their texts' embeddings, a batch at a time. prefix: what a model wants before a query. A null
     text is embedded as an empty one."""
-    schema = rows.schema.add(vector, "array<double>")
+    schema = StructType([*rows.schema.fields, StructField(vector, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loaded(make_embedder)
@@ -123,7 +124,7 @@ def embed(rows: DataFrame, text: str, vector: str, make_embedder: Callable[[], E
 
 def score_pairs(rows: DataFrame, question: str, text: str, score: str, make_scorer: Callable[[], PairScorer]) -> DataFrame:
     """rows with `score`: a model's score of each (question, text) pair."""
-    schema = rows.schema.add(score, "double")
+    schema = StructType([*rows.schema.fields, StructField(score, DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = loaded(make_scorer)

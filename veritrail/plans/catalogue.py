@@ -329,14 +329,6 @@ def claims_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.claims_from_cache(d, _cache(spark, sf_dir)).select("ord", F.col("pos").cast("long").alias("pos"), "claim_id", "claim")
 
 
-@query()
-def cluster_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential fold: no SQL; its test compares it with a plain Python version."""
-    e = _t(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("label").cast("long").alias("workspace_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("claim_id"), (F.col("vec_id") % 5).cast("string").alias("video"), F.col("embedding").alias("vector"))
-    return C.cluster_greedy(rows, 0.2)
-
-
 @query("""SELECT cluster_id, string_agg(DISTINCT video_id, ',' ORDER BY video_id) AS videos, count(DISTINCT video_id) AS unique_videos, count(DISTINCT video_id) AS unique_channels, count(*) FILTER (stance = 'support') AS support_count,
     count(*) FILTER (stance = 'oppose') AS oppose_count, count(*) FILTER (stance IN ('neutral', 'mixed')) AS neutral_count, sum(n_evidence)::BIGINT AS total_evidence, count(*) AS size FROM (
     SELECT event_id % 97 AS cluster_id, user_id::VARCHAR AS video_id, ['support', 'oppose', 'neutral', 'mixed'][event_id % 4 + 1] AS stance, event_id % 3 + 1 AS n_evidence FROM events) GROUP BY 1""")

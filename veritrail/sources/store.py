@@ -52,17 +52,21 @@ def spread(df: DataFrame, path: str) -> DataFrame:
     return df.repartition(cores) if fs.getContentSummary(at).getLength() <= cores * SPREAD_BYTES else df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once: written into the folder that driver and executors share, and read from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'veritrail-shared')}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written into the shared folder, and read from there."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_videos(spark: SparkSession, path: str) -> DataFrame:

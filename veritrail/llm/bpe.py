@@ -1,6 +1,7 @@
 """BPE encoding and decoding by a prefix-sharing trie traversal.
 
-The distinct words of a batch, sorted, are the depth-first order of their trie: a word shares with the one
+Texts are cut at white space, which no word goes beyond, and each distinct run is encoded once while a worker keeps it.
+The distinct words of the new runs, sorted, are the depth-first order of their trie: a word shares with the one
 before it the path of their common prefix. A node's state is the last token of the encoding of the prefix that
 leads to it. It follows from the states above: of the tokens that end the prefix, it is the one that may stand
 after the last token of what remains, that is, whose pair with that token is left as it is by the merges. So
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -23,14 +25,23 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_key, table
+from ._common import row_key, table, text_slices
 
-#: Words whose encodings a worker keeps; it starts anew beyond that.
-CACHE_WORDS = 400_000
+#: Runs of text between white space whose encodings a worker keeps, and their characters; it starts anew beyond either.
+CACHE_RUNS = 700_000
+CACHE_CHARS = 12_000_000
+#: Pairs of tokens of which a worker keeps whether they merge.
+CACHE_PAIRS = 600_000
+#: Bytes of text that are encoded together.
+STEP_BYTES = 1 << 20
 #: White space of the normaliser's and the splitter's \\s.
 _WS = r"\t-\r \x85\xa0  -     　"
 
 
+#: What stands before an added token and before a word that is not to be split again; no run has white space.
+_ADDED, _WORD = " a", " w"
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte: itself, or the next free code point from 256 on."""
     out, free = {}, 256
@@ -68,8 +79,8 @@ class TrieBpe:
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # a word's inner tokens, and those that end it without their mark
-        self.inner = {t for t in self.ids if not t.endswith(self.mark)}
-        self.final = {t[: -len(self.mark)] for t in self.ids if t.endswith(self.mark)}
+        self.inner = {t: t for t in self.ids if not t.endswith(self.mark)}
+        self.final = {t[: -len(self.mark)]: t for t in self.ids if t.endswith(self.mark)}
         self.longest = max(map(len, self.ids))
         self.letters = _byte_letters()
         self.special = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
@@ -79,12 +90,17 @@ class TrieBpe:
         unknown = [c for c in range(0x378, 0x110000) if unicodedata.category(chr(c)) == "Cn"]
         runs = [(a, b) for a, b in _runs(unknown)]
         self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+        self.controls = re.compile("[\x1c-\x1f]")  # white space to Python, not to the splitter
         self.beyond = regex.compile(r"[\u0378-\U0010ffff]")
         self.path, self.pattern = path, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.library = None
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.wholes: dict[str, bool] = {}  # one entry for each token at most
         self.ids_of: dict[str, str] = {}
-        self.tokens_of: dict[str, str] = {}
+        self.by_id = {str(i): t for t, i in (self.ids | self.added).items()}
+        self.id_text = {t: str(i) for t, i in self.ids.items()}
+        self.again: set[str] = set()
+        self.chars = 0
 
     # ---- merges
 
@@ -110,71 +126,84 @@ class TrieBpe:
         """Whether the merges leave the tokens left and right as they are, side by side."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merged(self._symbols(left) + self._symbols(right)) == [left, right]
         return known
 
     # ---- the traversal
 
-    def _state(self, word: str, depth: int, states: list[tuple[str, int]], last: bool) -> tuple[str, int]:
-        """(last token, its symbols) of the prefix of `depth` symbols, from the states of shorter ones."""
-        known = self.final if last else self.inner
-        for size in range(min(depth, self.longest), 0, -1):
-            body = word[depth - size : depth]
-            if body in known:
-                token = body + self.mark if last else body
-                rest = depth - size
-                if not rest:
-                    if size == 1 or self.merged(self._symbols(token)) == [token]:
-                        return token, size
-                elif self.may_follow(states[rest][0], token):
-                    return token, size
-        raise ValueError(f"no token ends {word[:depth]!r}")
+    def whole(self, token: str) -> bool:
+        """Whether the merges make this token of its symbols."""
+        known = self.wholes.get(token)
+        if known is None:
+            known = self.wholes[token] = self.merged(self._symbols(token)) == [token]
+        return known
 
     def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each word, written in byte letters. Depth first over the words' trie."""
+        """Tokens of each word, written in byte letters. Depth first over the words' trie; states[d] is the last token of
+        the prefix of d symbols, and where that token starts."""
+        inner, final, pairs, longest = self.inner, self.final, self.pairs, self.longest
         out: dict[str, list[str]] = {}
         before, states = "", [("", 0)]
         for word in sorted(set(words)):
-            shared, n = 0, len(word)
-            for a, b in zip(before, word, strict=False):
-                if a != b:
+            n, shared = len(word), 0
+            for x, y in zip(before, word, strict=False):
+                if x != y:
                     break
                 shared += 1
             del states[min(shared, n - 1) + 1 :]
-            while len(states) < n:
-                states.append(self._state(word, len(states), states, False))
-            token, size = self._state(word, n, states, True)
-            tokens, at = [token], n - size
-            while at:
-                token, size = states[at]
+            for depth in range(len(states), n + 1):
+                last = depth == n  # the last symbol carries the mark
+                for start in range(depth - longest if depth > longest else 0, depth):
+                    token = final.get(word[start:depth]) if last else inner.get(word[start:depth])
+                    if token is None:
+                        continue
+                    if start:
+                        left = states[start][0]
+                        fits = pairs.get((left, token))
+                        if fits is None:
+                            fits = self.may_follow(left, token)
+                    else:
+                        fits = depth == 1 or self.whole(token)
+                    if fits:
+                        break
+                else:
+                    raise ValueError(f"no token ends {word[:depth]!r}")
+                if not last:
+                    states.append((token, start))
+            tokens = [token]
+            while start:
+                token, start = states[start]
                 tokens.append(token)
-                at -= size
-            out[word] = tokens[::-1]
+            tokens.reverse()
+            out[word] = tokens
             before = word
         return out
 
     # ---- texts
 
-    def pieces(self, text: str) -> list[str]:
-        """The words and added tokens of a text, in order."""
+    def runs(self, text: str) -> list[str]:
+        """Parts of a text in order, none of which a word goes beyond: the lowered runs between white space, or, marked,
+        added tokens and words."""
         if self.special is not None and "<|" in text:
             out: list[str] = []
             at = 0
             for m in self.special.finditer(text):
                 out += self._plain(text[at : m.start()])
-                out.append(m[0])
+                out.append(_ADDED + m[0])
                 at = m.end()
             return out + self._plain(text[at:])
-        return self._plain(text)
+        if self.controls.search(text):
+            return self._plain(text)
+        return text.lower().split() if text.isascii() else self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             if self.beyond.search(text) and self.newer.search(text):
                 return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one: no final sigma
-        return self.split.findall(self.blank.sub(" ", text).lower())
+        return self.blank.sub(" ", text).lower().split(" ")
 
     def _by_library(self, text: str) -> list[str]:
         """The words as the library's normaliser and splitter find them."""
@@ -183,34 +212,48 @@ class TrieBpe:
 
             self.library = Tokenizer.from_file(self.path).normalizer, pre_tokenizers.Split(Regex(self.pattern), "removed", True)
         normal, split = self.library
-        return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that aren't known yet."""
-        new = [w for w in words if w not in self.ids_of]
-        if not new:
-            return
-        if len(self.ids_of) + len(new) > CACHE_WORDS:
-            self.ids_of.clear()
-            self.tokens_of.clear()
-            new = list(words)
-        plain = {w: w.encode().decode("latin-1").translate(self.letters) for w in new if w not in self.added}
-        known = self.encode_words(list(plain.values()))
-        for w in new:
-            tokens = [w] if w in self.added else known[plain[w]]
-            self.ids_of[w] = " ".join(str(self.added[t] if w in self.added else self.ids[t]) for t in tokens)
-            self.tokens_of[w] = " ".join(tokens)
+        return [_WORD + w for w, _ in split.pre_tokenize_str(normal.normalize_str(text))]
+
+    def learn(self, runs: set[str]) -> None:
+        """Encodes the runs that aren't known yet: all their distinct words in one traversal."""
+        ids = self.ids_of
+        new = [r for r in runs if r not in ids]
+        size = sum(map(len, new))
+        if len(ids) + len(new) > CACHE_RUNS or self.chars + size > CACHE_CHARS:
+            # what was met in several steps stays, unless that is too much as well
+            keep = (self.again & ids.keys()) | (runs & ids.keys())
+            if 2 * len(keep) > CACHE_RUNS or 2 * sum(map(len, keep)) > CACHE_CHARS:
+                keep = runs & ids.keys()
+            self.ids_of = ids = {r: ids[r] for r in keep}
+            self.chars, self.again = sum(map(len, keep)), set()
+        self.again.update(r for r in runs if r in ids)
+        self.chars += size
+        words = {r: [r[len(_WORD) :]] if r.startswith(_WORD) else self.split.findall(r) for r in new if not r.startswith(_ADDED)}
+        plain = {w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for found in words.values() for w in found}
+        known, id_text = self.encode_words(list(plain.values())), self.id_text.__getitem__
+        for r in new:
+            if r in words:
+                found = known[plain[words[r][0]]] if len(words[r]) == 1 else [t for w in words[r] for t in known[plain[w]]]
+                ids[r] = " ".join(map(id_text, found))
+            else:
+                ids[r] = str(self.added[r[len(_ADDED) :]])
+
+    def coded(self, texts: list[str]) -> list[list[str]]:
+        """The ids of each text, in decimal."""
+        found = [self.runs(t) if t else [] for t in texts]
+        self.learn(set().union(*found))
+        # a run without words (white space only) has none
+        return [" ".join(filter(None, map(self.ids_of.__getitem__, runs))).split() for runs in found]
 
     def encode(self, text: str) -> list[int]:
-        words = self.pieces(text)
-        self.learn(set(words))
-        return [int(x) for w in words for x in self.ids_of[w].split(" ")]
+        return [int(x) for x in self.coded([text])[0]]
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by spaces."""
-        if not hasattr(self, "by_id"):
-            self.by_id = {v: k for k, v in (self.ids | self.added).items()}
-        return " ".join(self.by_id[i] for i in ids if i in self.by_id)
+        return self.decoded([str(i) for i in ids])
+
+    def decoded(self, ids: list[str]) -> str:
+        return " ".join(filter(None, map(self.by_id.get, ids)))
 
 
 _models: dict[str, TrieBpe] = {}
@@ -222,21 +265,25 @@ def _model(path: str) -> TrieBpe:
     return _models[path]
 
 
+def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about STEP_BYTES of text."""
+    for i, j, _, _ in text_slices(column, STEP_BYTES):
+        yield i, j
+
+
 def _encode(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [bpe.pieces(t) if t else [] for t in part.column("text").to_pylist()]
-                bpe.learn({w for words in texts for w in words})
-                ids = [" ".join(map(bpe.ids_of.__getitem__, words)) for words in texts]
-                tokens = [" ".join(map(bpe.tokens_of.__getitem__, words)) for words in texts]
-                cols = [pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64())]
-                cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs]) for xs in (ids, tokens)]
+            for at, end in _steps(batch.column("text")):
+                part = batch.slice(at, end - at)
+                ids = bpe.coded([t or "" for t in part.column("text").to_pylist()])
+                tokens = list(map(bpe.decoded, ids))
+                cols = [pa.array(list(map(len, ids)), pa.int64())]
+                cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs]) for xs in (map(" ".join, ids), tokens)]
                 names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    cols += [pa.array([[int(i) for i in x.split(" ")] if x else [] for x in ids], pa.list_(pa.int32())), pa.array(tokens)]
+                    cols += [pa.array([list(map(int, x)) for x in ids], pa.list_(pa.int32())), pa.array(tokens)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in ("doc_id", "k_id", "k_hash")] + cols, names=["doc_id", "k_id", "k_hash", *names])
 

@@ -21,17 +21,18 @@ from ._common import materialize, release, row_key, table
 
 #: Bytes of a block.
 BLOCK_BYTES = 2048
-#: Buckets in which names are ranked; a name is bucket * 2^40 + rank.
+#: Buckets in which names are ranked, at least, and blocks of each where there are many; a name is bucket * 2^40 + rank.
 NAME_BUCKETS = 4096
+BUCKET_BLOCKS = 1 << 17
 
 
 def _addresses(block: Column, seed: int) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(2 * seed), block), F.xxhash64(F.lit(2 * seed + 1), block)
 
 
-def _named(keys: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds `name`: bucket and rank in the sorted order of the distinct (a, b)."""
-    bucket = F.pmod(F.xxhash64(a, b), F.lit(NAME_BUCKETS)).cast("long")
+def _named(keys: DataFrame, a: str, b: str, blocks: int) -> DataFrame:
+    """Adds `name`: bucket and rank in the sorted order of the distinct (a, b), of which there are at most `blocks`."""
+    bucket = F.pmod(F.xxhash64(a, b), F.lit(max(NAME_BUCKETS, blocks // BUCKET_BLOCKS))).cast("long")
     rank = F.row_number().over(W.partitionBy("bucket").orderBy(a, b)).cast("long")
     return keys.withColumn("bucket", bucket).withColumn("name", F.shiftleft("bucket", 40) + rank).drop("bucket")
 
@@ -61,7 +62,8 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
         met = cut.select(F.explode(blocks(lambda x: x)).alias("block")).select(*(c.alias(n) for c, n in zip(_addresses(F.col("block"), seed), "ab", strict=True)), "block")
         met = met.groupBy("a", "b").agg((F.min("block") != F.max("block")).alias("clash"))
-        names = materialize(_named(met, "a", "b"), "exact-names")
+        total = base.agg(F.sum("n_blocks")).first()[0] or 0
+        names = materialize(_named(met, "a", "b", total), "exact-names")
         if not names.where("clash").limit(1).count():
             break
         release(base, names)
@@ -80,7 +82,7 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             lambda i: F.struct(F.get("names", i * 2).alias("a"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("b")),
         )
         pairs = level.select("rid", F.posexplode(halves).alias("pos", "at")).select("rid", "pos", "at.a", "at.b")
-        pair_names = materialize(_named(pairs.select("a", "b").distinct(), "a", "b"), "exact-pairs")
+        pair_names = materialize(_named(pairs.select("a", "b").distinct(), "a", "b", total), "exact-pairs")
         level_up = materialize(_gather(pairs.join(pair_names, ["a", "b"])), "exact-level")
         release(level, pair_names)
         ends.append(level_up.where(F.size("names") == 1).select("rid", F.col("names")[0].alias("name")))

@@ -22,22 +22,29 @@ ROUNDS = 8
 SLACK = 0.25
 #: Rows of a group that are ranked in one window, about; the group stays one neighbourhood.
 RANK_ROWS = 50_000
-#: Buckets in which rows are ranked and admitted. Tables of (shard, bucket) counts have SHARDS * BUCKETS rows at most.
+#: Buckets in which moves are admitted, and rows ranked; of the latter there are more for more rows, up to MOST_BUCKETS in
+#: all, which is what a table of counts by bucket has.
 BUCKETS = 1024
+MOST_BUCKETS = 1 << 20
 
 
-def _bucket(*cols: str, salt: int = 0) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(BUCKETS)).cast("int")
+def _bucket(*cols: str, salt: int = 0, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(buckets)).cast("int")
 
 
-def _ranked(rows: DataFrame, by: str | None, order: list[str], name: str, together: int = 1, pieces: bool = False) -> DataFrame:
+def _rank_buckets(total: int, parts: int) -> int:
+    """Buckets in each of `parts` parts of the rows, with about RANK_ROWS rows each where there are many."""
+    return int(min(max(BUCKETS, total // RANK_ROWS // parts), MOST_BUCKETS // parts))
+
+
+def _ranked(rows: DataFrame, by: str | None, order: list[str], name: str, buckets: int, together: int = 1, pieces: bool = False) -> DataFrame:
     """Adds `rank`: gapless from 0 (within each `by`), in an order of hash buckets of the first
     `together` columns and then `order`.
 
     Only counts per bucket are summed in order; rows are ranked within their buckets. With `pieces`, a group (g2) for
     which that column is above 1 follows the others of its bucket in as many pieces.
     """
-    rows, at = rows.withColumn("b", _bucket(*order[:together])), ["b"]
+    rows, at = rows.withColumn("b", _bucket(*order[:together], buckets=buckets)), ["b"]
     if pieces:
         rows = rows.withColumn("own", F.when(F.col("pieces") > 1, F.col("g2")).otherwise(0)).withColumn("piece", F.pmod(F.xxhash64(F.lit(7), "doc_id"), "pieces"))
         at = ["b", "own", "piece"]
@@ -52,6 +59,7 @@ def _ranked(rows: DataFrame, by: str | None, order: list[str], name: str, togeth
 def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, name: str = "shard") -> DataFrame:
     """rows: doc_id, g1, g2 (the group's address) and other columns but `shard`. Adds `shard` (0 to shards - 1)."""
     total = rows.count()
+    many, each = _rank_buckets(total, 1), _rank_buckets(total, shards)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     sizes = rows.groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1")
     sizes = materialize(sizes, f"{name}-groups")
@@ -61,7 +69,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     linked = rows.join(sizes, ["g1", "g2"]).withColumn("g2", F.xxhash64("g2", F.pmod(F.xxhash64(F.lit(5), "doc_id"), parts)))
     linked = linked.withColumn("pieces", F.ceil(F.col("members") / RANK_ROWS).cast("int")).drop("members")
     loners = rows.join(sizes, ["g1", "g2"], "left_anti").withColumn("pieces", F.lit(1))
-    state = _ranked(linked, None, ["doc_id", "g1", "g2"], name).withColumn("shard", F.pmod(F.col("rank"), F.lit(shards)).cast("int")).drop("rank")
+    state = _ranked(linked, None, ["doc_id", "g1", "g2"], name, many).withColumn("shard", F.pmod(F.col("rank"), F.lit(shards)).cast("int")).drop("rank")
     state = materialize(state, f"{name}-state")
     for turn in range(rounds):
         held = dict(state.groupBy("shard").count().collect())  # one row per shard
@@ -85,7 +93,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         moved = materialize(moved.select(*state.columns), f"{name}-state")
         release(state, moves)
         state = moved
-    ordered = _ranked(state, "shard", ["g1", "g2", "doc_id"], f"{name}-over", together=2, pieces=True)
+    ordered = _ranked(state, "shard", ["g1", "g2", "doc_id"], f"{name}-over", each, together=2, pieces=True)
     quotas = F.array(*[F.lit(q) for q in quota])
     ordered = materialize(ordered.withColumn("fits", F.col("rank") < quotas[F.col("shard")]).drop("rank"), f"{name}-fits")
     state, over = ordered.where("fits").drop("fits"), ordered.where("not fits").drop("fits", "shard")
@@ -95,7 +103,7 @@ def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         upto += quota[s] - held.get(s, 0)
         bounds.append(upto)
     to = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("rank"))).cast("int")
-    filled = _ranked(loners.unionByName(over), None, ["g1", "g2", "doc_id"], f"{name}-fill", together=2, pieces=True).withColumn("shard", to).drop("rank")
+    filled = _ranked(loners.unionByName(over), None, ["g1", "g2", "doc_id"], f"{name}-fill", many, together=2, pieces=True).withColumn("shard", to).drop("rank")
     return materialize(state.unionByName(filled.select(*state.columns)).drop("pieces"), f"{name}-all")
 
 
@@ -112,9 +120,19 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rows = materialize(rows, "shard-rows")
     placed = balanced_shards(rows, shards)
-    ranked = _ranked(placed, "shard", ["doc_id", "g1", "g2"], "shard-slot")
+    ranked = _ranked(placed, "shard", ["doc_id", "g1", "g2"], "shard-slot", _rank_buckets(rows.count(), shards))
     return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+BALANCE_SQL = f"""SELECT s::INTEGER AS shard, n // {SHARDS} + (s < n % {SHARDS})::BIGINT AS rows, n // {SHARDS} + (s < n % {SHARDS})::BIGINT AS slots, n // {SHARDS} + (s < n % {SHARDS})::BIGINT - 1 AS last_slot
+    FROM (SELECT count(*) AS n FROM documents), range(0, {SHARDS}) AS r(s)"""
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each shard's rows, different slots and last slot."""
+    rows = op3_sharding(spark, sf_dir).groupBy("shard")
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last_slot"))

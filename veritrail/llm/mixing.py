@@ -157,3 +157,16 @@ def mixed_rows(docs: DataFrame, **options: int) -> DataFrame:
 
 def op7_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+TARGETS_SQL = r"""WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY 1),
+    w AS (SELECT *, [3.0::DOUBLE, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s),
+    -- the level at which all sources that stay under their caps take their weight's part of what the others leave
+    l AS (SELECT (any_value(total) - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.level), 0)) / sum(b.weight) FILTER (b.cap / b.weight >= a.level) AS level, a.level AS cut FROM (SELECT DISTINCT cap / weight AS level FROM w) a, w b GROUP BY a.level)
+    SELECT source, source_size, round(least(cap, coalesce((SELECT arg_min(level, cut) FROM l WHERE level <= cut) * weight, cap)), 6) AS target FROM w"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' words and targets, as the mix has them."""
+    rows = mix_sources(table(spark, sf_dir, "documents"), name="mix-targets")
+    return rows.select("source", "source_size", F.round("target", 6).alias("target")).distinct()

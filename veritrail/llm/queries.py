@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, mixing, sharding, substring_dedup, suffix_dedup
 from .ann_search import op1_ann_search
 from .bpe import op10_bpe_encode_decode
 from .exact_dedup import op8_exact_dedup
@@ -22,8 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann_search, op2_substring_dedup, op3_sharding, op4_language_id, op5_toxicity, op6_suffix_dedup, op7_mix_to_targets, op8_exact_dedup, op9_simhash_near_dedup,
-        op10_bpe_encode_decode,
+        op10_bpe_encode_decode, sharding.shard_balance, mixing.mix_targets,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL, "shard_balance": sharding.BALANCE_SQL, "mix_targets": mixing.TARGETS_SQL,
+}

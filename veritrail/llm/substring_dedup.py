@@ -145,5 +145,13 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_apply, "doc_id long, k_id long, k_hash long, n_words long, n_removed long, kept_sha256 string")
 
 
+SQL = r"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+  late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+  gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM late) GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ') ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]), ' '), '') END) AS kept_sha256
+  FROM d LEFT JOIN gone USING (doc_id)"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(table(spark, sf_dir, "documents")).drop("k_id", "k_hash")

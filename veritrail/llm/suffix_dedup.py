@@ -233,5 +233,15 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_apply, "doc_id long, k_id long, k_hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+SQL = r"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  win AS MATERIALIZED (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d)),
+  met AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+  runs AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 400)::INT AS new FROM met)) GROUP BY doc_id, run),
+  kept AS (SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS x FROM (
+    SELECT doc_id, e AS a, lead(s, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY s) AS b FROM runs UNION ALL SELECT doc_id, 0, min(s) FROM runs GROUP BY 1) JOIN d USING (doc_id) GROUP BY 1)
+  SELECT doc_id, len(d.x) // 2 AS n_bytes, coalesce(r.n, 0)::BIGINT AS n_removed, coalesce(r.k, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+  FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - s) AS n, count(*) AS k FROM runs GROUP BY 1) r USING (doc_id)"""
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("k_id", "k_hash")

@@ -89,3 +89,34 @@ def test_stream_is_idempotent(spark, tmp_path):
         rows.write.mode("append").parquet(source)
         ingest.ingest_stream(spark, source, target, str(tmp_path / "c"), schema).awaitTermination()
     assert sorted((r.video_ord, r.content_hash) for r in spark.read.parquet(target).collect()) == [(1, "a"), (1, "a"), (2, "b")]
+
+
+def test_retrieval_eval_of_short_items(spark, tmp_path):
+    """Items of one or two words, and one whose inner words have no token, against SQL."""
+    import duckdb
+
+    from veritrail.plans import catalogue
+
+    docs = [(1, "red apple pie"), (2, "green apple"), (3, "a -- b c"), (4, "red apple tart with cream"), (5, None)]
+    items = [(1, "red apple"), (2, "apple"), (3, "a -- b"), (4, "apple tart with cream"), (6, "nowhere at all")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalogue.QUERIES["retrieval_eval"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(catalogue.ORACLES["retrieval_eval"]).fetchall()) and ("(all)", 4) in [r[:2] for r in got]
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    """Queries in several blocks, ties to the smaller id, zero vectors without rank, against plain Python."""
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    index = [(i, [float(i % 3), float(i % 5), 1.0] if i else [0.0, 0.0, 0.0], i % 2) for i in range(40)]
+    queries = [(100 + i, [1.0, float(i % 2), 0.5] if i else [0.0, 0.0, 0.0], i % 2) for i in range(8)]
+    got = R.vector_top_k(spark.createDataFrame(index, "id long, vector array<double>, s int").repartition(3), spark.createDataFrame(queries, "question_id long, vector array<double>, s int"), 4, "s")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for qid, q, s in queries:
+        near = sorted((-round(sum(a * b for a, b in zip(q, v, strict=True)) / norm(q) / norm(v), 6), i) for i, v, t in index if t == s and norm(q) and norm(v))
+        want += [(qid, n + 1, i, -c) for n, (c, i) in enumerate(near[:4])]
+    assert sorted((r.question_id, r["rank"], r.id, r.score) for r in got.collect()) == want

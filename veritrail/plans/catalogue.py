@@ -398,13 +398,17 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT coalesce(category, '(all)') AS category, count(*) AS n, round(avg(rr), 6) AS mrr, round(avg(h1), 6) AS hit_at_1, round(avg(h3), 6) AS hit_at_3, round(avg(h5), 6) AS hit_at_5 FROM s GROUP BY ROLLUP (category)""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions are benchmark items; a document is expected that holds the item's text. Candidates meet by the rarest
-    token of the item's inner words, which any text that holds the item has."""
+    token of the item's inner words, which any text that holds the item has; the few items without one are looked for
+    in every text."""
     d, q = _spread(spark, sf_dir, "documents"), _questions(spark, sf_dir)
     w = T.words(F.col("question"))
-    inner = q.select("question_id", "question", F.explode(T.tokens(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))).alias("token"))
+    met = q.select("question_id", "question", F.explode_outer(T.tokens(F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), " "))).alias("token"))
     post = R.postings(d)
-    rarest = inner.join(post.groupBy("token").count(), "token").groupBy("question_id", "question").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
-    want = rarest.join(post.select("token", "doc_id"), "token").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question")))
+    rarest = met.where("token is not null").join(post.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), "token").groupBy("question_id", "question").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+    want = rarest.join(post.select("token", "doc_id"), "token").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("question"))).select("question_id", "doc_id")
+    short = met.where("token is null").select("question_id", "question")
+    bare = d.select("doc_id", "text").join(F.broadcast(short), F.contains("text", F.col("question"))).select("question_id", "doc_id")
+    want = want.unionByName(bare)
     want = want.groupBy("question_id").agg(F.collect_set("doc_id").alias("expected"))
     got = R.bm25_top_k(d, q, 25).groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("retrieved"))
     category = F.when(F.col("question_id") % 3 > 0, F.format_string("c%d", F.col("question_id") % 3))

@@ -1,6 +1,7 @@
 """A workspace from raw videos to a report, with recorded models; the client chain; transcription around fixtures."""
 
 import http.client
+import http.server
 import json
 import threading
 import time
@@ -238,3 +239,47 @@ def test_large_bodies_are_refused(spark, tmp_path):
     c.putheader("Content-Length", str(MOST_BYTES + 1))
     c.endheaders()
     assert c.getresponse().status == 413
+
+
+def test_http_clients():
+    """Both clients against a local server, which is busy once; the chain asks the next one then."""
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), body.get("temperature", body.get("options", {}).get("temperature"))))
+            status = 429 if body["model"] == "busy" else 500 if body["model"] == "broken" else 200
+            text = "chat " + body["messages"][0]["content"] if "messages" in body else "local " + body["prompt"]
+            raw = json.dumps({"choices": [{"message": {"content": text}}], "response": text}).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert models.chat_client(f"{url}/chat", "m", "k")("a") == "chat a" and models.local_client(f"{url}/", "m")("b") == "local b"
+    assert seen == [("/chat", "Bearer k", 0), ("/api/generate", None, 0)]
+    with pytest.raises(models.RateLimited):
+        models.chat_client(url, "busy", "k")("a")
+    with pytest.raises(RuntimeError, match="HTTP 500"):
+        models.chat_client(url, "broken", "k")("a")
+    make = models.chained(["x", "busy", "ok"], {"busy": lambda: models.chat_client(url, "busy", "k"), "ok": lambda: models.local_client(url, "m")})
+    assert make()("c") == "local c"
+    server.shutdown()
+
+
+def test_first_device():
+    def load(device):
+        if device == "cuda":
+            raise OSError("no device")
+        return lambda audio: [(0.0, device)]
+
+    assert video.on_first_device(load)("a") == [(0.0, "cpu")]
+    with pytest.raises(RuntimeError):
+        video.on_first_device(load, ["cuda"])

@@ -1,14 +1,17 @@
 """Text models: a chain of clients per task, and completions of a table of prompts.
 
-A client is any callable prompt -> text. Those that need a network are made by the caller and passed in; the library
-has a recorded one, which answers from a table.
+A client is any callable prompt -> text. The library has two over HTTP, whose addresses, models and keys are the
+caller's, and a recorded one, which answers from a table.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -60,6 +63,52 @@ def ask_chain(prompt: str, names: list[str], clients: Mapping[str, Client], pass
     raise RuntimeError(f"no client of {names} answered: {last}")
 
 
+def rate_limited(status: int, said: str) -> bool:
+    return status == 429 or "429" in said or "RESOURCE_EXHAUSTED" in said or "rate limit" in said.lower()
+
+
+def _posted(url: str, body: dict, headers: Mapping[str, str], seconds: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(request, timeout=seconds) as reply:
+            return json.loads(reply.read())
+    except urllib.error.HTTPError as e:
+        said = e.read().decode(errors="replace")
+        if rate_limited(e.code, said):
+            raise RateLimited(said[:200]) from e
+        raise RuntimeError(f"{url}: HTTP {e.code}: {said[:200]}") from e
+
+
+def chat_client(url: str, model: str, key: str, seconds: float = 120) -> Client:
+    """A client of an endpoint for chat completions."""
+
+    def client(prompt: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0}
+        return _posted(url, body, {"Authorization": f"Bearer {key}"}, seconds)["choices"][0]["message"]["content"]
+
+    return client
+
+
+def local_client(url: str, model: str, seconds: float = 180) -> Client:
+    """A client of a local server that completes a prompt in one reply; url ends before /api/generate."""
+
+    def client(prompt: str) -> str:
+        body = {"model": model, "prompt": prompt, "stream": False, "options": {"temperature": 0}}
+        return _posted(f"{url.rstrip('/')}/api/generate", body, {}, seconds).get("response", "")
+
+    return client
+
+
+def chained(names: list[str], makers: Mapping[str, Callable[[], Client]]) -> Callable[[], Client]:
+    """A maker of a client that asks the named ones in turn (see `ask_chain`)."""
+
+    def make() -> Client:
+        clients = {n: makers[n]() for n in names if n in makers}
+        return lambda prompt: ask_chain(prompt, names, clients)
+
+    return make
+
+
 class Recorded:
     """Answers from a mapping of prompts; `default` answers the rest, or else they fail."""
 

@@ -30,6 +30,17 @@ def render_transcripts(segments: DataFrame, key: str = "video_id") -> DataFrame:
     return rows.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def on_first_device(load: Callable[[str], Transcribe], devices: Iterable[str] = ("cuda", "cpu")) -> Transcribe:
+    """What load makes of the first device on which it works; the last failure is told if none does."""
+    failed = None
+    for device in devices:
+        try:
+            return load(device)
+        except Exception as e:  # whatever a device lacks, the next one is tried
+            failed = e
+    raise RuntimeError(f"no device works: {failed}")
+
+
 def payload(url: str, download: Download, transcribe: Transcribe) -> dict:
     """One video; the audio lives in a folder that goes when the transcript is there, or fails."""
     with tempfile.TemporaryDirectory() as folder:

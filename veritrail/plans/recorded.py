@@ -14,6 +14,7 @@ from veritrail.operators import answers, synthesis
 from veritrail.operators import claims as C
 from veritrail.plans.catalogue import _DEDUP, _PAIRS, _deduplicated, _nth, _pairs, _questions, _t, query
 from veritrail.sources import store
+from veritrail.streaming import ingest
 
 
 def _claims_client():
@@ -162,3 +163,28 @@ def cluster_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     rows = e.select(F.col("label").cast("long").alias("workspace_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("claim_id"), (F.col("vec_id") % 5).cast("string").alias("video"), F.col("embedding").alias("vector"))
     return C.cluster_greedy(rows, 0.2)
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 5 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files; each trigger's counts replace the last ones."""
+    rows, source, target = _t(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), store.shared_folder(spark, "events"), store.shared_folder(spark, "activity")
+    rows.write.parquet(source)
+    counts = ingest.activity(spark.readStream.schema(rows.schema).parquet(source))
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", store.shared_folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT doc_id AS video_ord, substr(sha256(text), 1, 16) AS content_hash FROM documents WHERE text IS NOT NULL QUALIFY doc_id = min(doc_id) OVER (PARTITION BY sha256(text))""")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks ingested as a stream; the same files delivered again add nothing."""
+    schema, source, target, state = "video_ord long, content_hash string", *(store.shared_folder(spark, x) for x in ("chunks", "ingested", "state"))
+    rows = _t(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("video_ord"), T.content_hash(F.col("text")).alias("content_hash"))
+    for _ in range(2):
+        rows.write.mode("append").parquet(source)
+        ingest.ingest_stream(spark, source, target, state, schema).awaitTermination()
+    return spark.read.schema(schema).parquet(target)

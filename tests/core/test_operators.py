@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as T
@@ -120,3 +121,20 @@ def test_vector_search_in_blocks(spark, monkeypatch):
         near = sorted((-round(sum(a * b for a, b in zip(q, v, strict=True)) / norm(q) / norm(v), 6), i) for i, v, t in index if t == s and norm(q) and norm(v))
         want += [(qid, n + 1, i, -c) for n, (c, i) in enumerate(near[:4])]
     assert sorted((r.question_id, r["rank"], r.id, r.score) for r in got.collect()) == want
+
+
+def test_theme_pairs_in_cells(spark, monkeypatch):
+    """Clustered vectors in many cells and blocks: each pair that reaches the floor once, as by all pairs."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((12, 6))[rng.integers(0, 12, 300)] + 0.25 * rng.standard_normal((300, 6))
+    x[5] = 0
+    rows = [(i, i % 7, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "ord long, video int, vector array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    for block, floor in ((2048, 0.8), (40, 0.8), (9, 0.95), (25, -0.2)):
+        monkeypatch.setattr(C, "BLOCK_ROWS", block)
+        got = sorted((r.i, r.j, r.cosine) for r in C.theme_pairs(df, floor).collect())
+        near = u @ u.T
+        want = sorted((i, j, round(near[i, j], 6)) for i in range(300) for j in range(i + 1, 300) if near[i, j] >= floor and i % 7 != j % 7 and i != 5 and j != 5)
+        assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+    assert C.theme_pairs(df.limit(0), 0.8).count() == 0

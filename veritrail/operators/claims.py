@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veritrail.functions import text as T
+from veritrail.sources.store import written
 
 # fixed values: what a claim and a relationship may be
 CLAIM_TYPES = ("recommendation", "opinion", "fact", "prediction", "warning")
 STANCES = ("support", "oppose", "neutral", "mixed")
 RELATIONSHIPS = ("single_source", "agreement", "partial_agreement", "contradiction", "different_context", "independent")
 WITHIN_MERGE = 0.87
+#: Vectors of a block that meets another, about, and pivots at most.
+BLOCK_ROWS, MOST_CELLS = 2048, 512
 #: A whole claim, as it is cached.
 CLAIM = "struct<claim:string,claim_type:string,stance:string,evidence:array<struct<chunk_id:string,evidence_text:string>>,topics:array<string>>"
 _REPLY = "array<struct<video_id:string,claim:string,claim_type:string,stance:string,evidence:array<struct<chunk_id:string,evidence_text:string>>,topics:array<string>>>"
@@ -92,30 +97,60 @@ def cluster_greedy(claims: DataFrame, threshold: float = WITHIN_MERGE) -> DataFr
     return claims.select("workspace_id", "ord", "claim_id", "video", "vector").groupBy("workspace_id").applyInPandas(fold, schema)
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    v = np.array(column.tolist(), np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def theme_pairs(claims: DataFrame, floor: float) -> DataFrame:
-    """claims: ord, video, vector. Pairs i < j of different videos whose cosine reaches the floor.
+    """claims: ord, video, vector. Pairs i < j of different videos whose cosine reaches the floor; zero vectors have none.
 
-    Vectors are scaled once to unit length and dealt into blocks; a block pair is one matrix product, so no row of
-    the result is made that does not pass the floor.
+    Vectors go to the cell of the nearest of some pivots, and as visitors to those later cells that can hold a partner:
+    a vector within an angle t of another is within t plus a cell's radius of that cell's pivot, if the other lies in it.
+    Cells meet their visitors in blocks, each one matrix product, so no row is made that does not pass the floor.
     """
-    blocks = max(1, -(-claims.count() // 2048))
-    rows = claims.select(F.col("ord").alias("i"), "video", F.col("vector").cast("array<double>").alias("vector")).withColumn("blk", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    each = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("other", F.explode(F.filter(each, lambda b: b >= F.col("blk")))).withColumnRenamed("blk", "a").withColumnRenamed("other", "b")
-    right = rows.withColumn("other", F.explode(F.filter(each, lambda b: b <= F.col("blk")))).select(F.col("other").alias("a"), F.col("blk").alias("b"), F.col("i").alias("i2"), F.col("video").alias("video2"), F.col("vector").alias("vector2"))
+    n = claims.count()
+    rows = claims.select(F.col("ord").alias("i"), "video", F.col("vector").cast("array<double>").alias("vector")).where(F.exists("vector", lambda x: x != 0))
+    picked = rows.orderBy(F.xxhash64(F.lit(1), "i"), "i").limit(int(np.clip(-(-n // BLOCK_ROWS), 1, MOST_CELLS))).select("vector").toPandas()
+    kinds = f"i {dict(rows.dtypes)['i']}, video {dict(rows.dtypes)['video']}, vector array<double>"
+    if not len(picked):
+        return claims.sparkSession.createDataFrame([], "i long, j long, cosine double")
+    pivots, angle = claims.sparkSession.sparkContext.broadcast(_units(picked["vector"])), float(np.arccos(np.clip(floor, -1, 1)))
+    apart = lambda u: np.arccos(np.clip(u @ pivots.value.T, -1, 1))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = apart(_units(pdf["vector"]))
+                yield pdf.assign(cell=d.argmin(axis=1).astype(np.int32), far=d.min(axis=1))
+
+    at_home = written(rows.mapInPandas(settle, f"{kinds}, cell int, far double"), "cells")
+    cells = at_home.groupBy("cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).toPandas()  # MOST_CELLS rows at most
+    radius = np.full(len(picked), -np.inf)
+    radius[cells["cell"]] = cells["radius"]
+    blocks = dict(zip(cells["cell"].tolist(), cells["blocks"].tolist(), strict=True))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                row, to = np.nonzero((apart(_units(pdf["vector"])) <= radius + angle + 1e-7) & (np.arange(len(radius)) >= pdf["cell"].to_numpy()[:, None]))
+                yield pdf.drop(columns="far").iloc[row].rename(columns={"cell": "own"}).assign(cell=to.astype(np.int32))
+
+    of = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("cell")]
+    visitors = at_home.mapInPandas(visit, f"{kinds}, own int, cell int")
+    left = visitors.select("cell", F.explode(F.sequence(F.lit(0), of - 1)).alias("blk"), F.pmod(F.xxhash64(F.lit(2), "i"), of).cast("int").alias("part"), F.col("i").alias("i1"), F.col("video").alias("video1"), F.col("vector").alias("vector1"), "own")
+    right = at_home.select("cell", F.pmod(F.xxhash64(F.lit(3), "i"), of).cast("int").alias("blk"), F.explode(F.sequence(F.lit(0), of - 1)).alias("part"), "i", "video", "vector")
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"i": [], "j": [], "cosine": []}).astype({"i": "int64", "j": "int64"})
-        unit = lambda c: (v := np.array(c.tolist(), np.float64)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        near = unit(x["vector"]) @ unit(y["vector2"]).T
-        p, q = np.nonzero((near >= floor) & (x["video"].to_numpy()[:, None] != y["video2"].to_numpy()[None]))
-        i, j = x["i"].to_numpy()[p], y["i2"].to_numpy()[q]
-        same = (x["a"].iloc[0] == x["b"].iloc[0]) & (i >= j)
-        out = pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "cosine": near[p, q]})
-        return out[~same]
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, "i long, j long, cosine double")
+        near = _units(x["vector1"]) @ _units(y["vector"]).T
+        p, q = np.nonzero((near >= floor) & (x["video1"].to_numpy()[:, None] != y["video"].to_numpy()[None]))
+        i, j, once = x["i1"].to_numpy()[p], y["i"].to_numpy()[q], x["own"].to_numpy()[p] != y["cell"].iloc[0]
+        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "cosine": near[p, q]})[once | (i < j)]
+
+    keys = ["cell", "blk", "part"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "i long, j long, cosine double")
     return met.select("i", "j", F.round("cosine", 6).alias("cosine"))
 
 

@@ -153,7 +153,7 @@ def plain_toxicity(text, model):
 def test_toxicity_by_hand(spark):
     rows = [(i, t + (" vile scoundrel" if i % 4 == 0 else "")) for i, t in generated(300, 9)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    model = toxicity.train(*toxicity.training_rows(frame(spark, rows), labels, "doc_id", "text", "lang", "toxic"))
+    model = toxicity.train(toxicity.training_rows(frame(spark, rows), labels))
     some = rows[:15] + [(1000, ""), (1001, "x"), (1002, None)]
     found = {r.doc_id: r.score for r in toxicity.toxicity_scores(frame(spark, some), labels, model=model).collect()}
     assert all(abs(found[d] - plain_toxicity(t or "", model)) < 1e-3 for d, t in some)
@@ -169,10 +169,7 @@ def test_toxicity_of_held_out_rows(spark):
 
 
 @pytest.mark.parametrize("rows, most", [([(5, "a b c")] * 50, 10), ([(None, "copy of one text")] * 50, 10), ([(i, "w " * 3000) for i in range(50)], 50)], ids=["one row", "null id", "long"])
-def test_training_sample_is_bounded(spark, monkeypatch, rows, most):
+def test_training_sample_is_bounded(spark, rows, most):
     """Repeats of a row, or rows without an id, do not fill the driver; a text's window has no more than its bound."""
-    monkeypatch.setattr(language_id, "SAMPLE_WINDOW", 100)
-    seen = []
-    monkeypatch.setattr(language_id, "fit", lambda x, lang: seen.append(x) or language_id.Hierarchy([], [], np.zeros((0, 1)), {}))
     picked = language_id.bounded_sample(frame(spark, rows).selectExpr("doc_id as id", "text", "lang"), 2, 4000, 30_000_000, 100)
-    assert len(picked) <= most and all(len(r["text"]) <= 100 for r in picked)
+    assert 0 < picked.num_rows <= most and all(len(t) <= 100 for t in picked.column("text").to_pylist())

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles (a longer document is a step of its own).
@@ -123,8 +123,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
-def bounded_sample(rows: DataFrame, seed: int, most_rows: int, most_bytes: int, window: int, known: DataFrame | None = None) -> list[Row]:
-    """rows: id, text, others. A sample for the driver: the rows with the smallest hashes of id and text (repeats of a
+def bounded_sample(rows: DataFrame, seed: int, most_rows: int, most_bytes: int, window: int, known: DataFrame | None = None) -> pa.Table:
+    """rows: id, text, others. A sample for the driver, in the order of the hashes: the rows with the smallest hashes of id and text (repeats of a
     row count once), most_rows at most, as many as have most_bytes of text together. Of a text of more than `window`
     characters the sample has a window, at a place that the hash gives. known: id, others, to which rows are limited."""
     h = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "text"))
@@ -136,11 +136,10 @@ def bounded_sample(rows: DataFrame, seed: int, most_rows: int, most_bytes: int,
         if total > most_bytes:
             break
         most = k[0]
-    if most is None:
-        return []
     long = F.char_length("text") - window
     cut = F.when(long > 0, F.substring("text", F.pmod(F.col("h"), F.greatest(long, F.lit(1))).cast("int") + 1, F.lit(window))).otherwise(F.col("text"))
-    return sorted(met(h.where(F.col("h") <= most)).dropDuplicates(["h"]).withColumn("text", cut).collect(), key=lambda r: r["h"])
+    picked = h.where(F.col("h") <= most) if most is not None else h.where("false")
+    return met(picked).dropDuplicates(["h"]).withColumn("text", cut).toArrow().sort_by("h")
 
 
 def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
@@ -151,6 +150,24 @@ def equal(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return cond
 
 
+# ----------------------------------------------------------------------------- a worker's memory
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task. It keeps one thing only: workers are used again by other steps."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Frees what an earlier step has left in this worker process."""
+    _held.clear()
+
+
 # ----------------------------------------------------------------------------- Arrow text access
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import row_key, table, text_slices
+from ._common import held, row_key, table, text_slices
 
 #: Runs of text between white space whose encodings a worker keeps, and their characters; it starts anew beyond either.
 CACHE_RUNS = 700_000
@@ -256,15 +256,6 @@ class TrieBpe:
         return " ".join(filter(None, map(self.by_id.get, ids)))
 
 
-_models: dict[str, TrieBpe] = {}
-
-
-def _model(path: str) -> TrieBpe:
-    if path not in _models:
-        _models[path] = TrieBpe(path)
-    return _models[path]
-
-
 def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows with about STEP_BYTES of text."""
     for i, j, _, _ in text_slices(column, STEP_BYTES):
@@ -273,7 +264,7 @@ def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _encode(path: str, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _model(path)
+        bpe = held(f"bpe {path}", lambda: TrieBpe(path))
         for batch in batches:
             for at, end in _steps(batch.column("text")):
                 part = batch.slice(at, end - at)

@@ -155,11 +155,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     picked = bounded_sample(rows, 2, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOW)
-    x = np.zeros((len(picked), FEATURES), np.float32)
-    for k, r in enumerate(picked):
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
-        x[k] = features(raw, np.array([0, len(raw)]))[0]
-    return fit(x, [r["lang"] for r in picked])
+    x = np.zeros((picked.num_rows, FEATURES), np.float32)
+    for i, j, data, off in text_slices(picked.column("text"), 1 << 19):
+        x[i:j] = features(data, off)
+    return fit(x, picked.column("lang").to_pylist())
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Hierarchy | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import components, materialize, row_key, scratch, shingle_hashes, table, text_slices
+from ._common import components, let_go, materialize, row_key, scratch, shingle_hashes, table, text_slices
 
 BITS = 64
 #: Differing bits at which fingerprints link.
@@ -58,6 +58,7 @@ def _prints(shingle_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("k_id", pa.int64()), ("k_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = np.empty(batch.num_rows, np.uint64)
             for i, j, data, off in text_slices(batch.column("text"), STEP_BYTES):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_sample, row_key, table, text_slices, word_hashes, word_spans
+from ._common import bounded_sample, let_go, row_key, table, text_slices, word_hashes, word_spans
 
 #: Labelled rows that training takes at most, their bytes of text, and characters of a text (see `bounded_sample`).
 SAMPLE_ROWS = 8000
@@ -225,12 +225,14 @@ def _threshold(logit: np.ndarray, label: np.ndarray, prior: float) -> float:
 
 
 def _language_table(ids: np.ndarray, counts: np.ndarray, lang: np.ndarray, n: int, rows: int) -> np.ndarray:
-    row = np.repeat(np.arange(len(counts)), counts)
-    seen = np.zeros((rows, n), np.float64)
-    np.add.at(seen, (ids[:, 0], lang[row]), 1)
-    p = (seen + 0.5) / (seen + 0.5).sum(axis=0)
+    row = np.repeat(lang.astype(np.int32), counts)
+    seen = np.full((rows, n), 0.5, np.float32)  # counts of words stay far below 2^24
+    for i in range(0, len(ids), 100_000):
+        np.add.at(seen, (ids[i : i + 100_000, 0], row[i : i + 100_000]), 1)
+    p = seen / seen.sum(axis=0, dtype=np.float64).astype(np.float32)
     p[0] = 1.0
-    return (np.log(p) - np.log(p).mean(axis=1, keepdims=True)).astype(np.float32)
+    np.log(p, out=p)
+    return p - p.mean(axis=1, keepdims=True)
 
 
 def guess_language(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -242,16 +244,13 @@ def guess_language(ids: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np
     return total.argmax(axis=1)
 
 
-def _sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """text_words of the texts, some at a time; texts is emptied meanwhile."""
-    ids, at, counts = np.empty((sum(map(len, texts)) // 4 + 1, 1 + len(STEMS)), np.int32), 0, []
-    texts.reverse()
-    while texts:
-        data = [texts.pop().encode() for _ in range(min(50, len(texts)))]
-        off = np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
-        part, n = text_words(np.frombuffer(b"".join(data), np.uint8), off)
+def _sample_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """text_words of the texts, some at a time."""
+    ids, at, counts = np.empty((max(1, texts.nbytes // 5), 1 + len(STEMS)), np.int32), 0, []
+    for _, _, data, off in text_slices(texts, SCORE_BYTES):
+        part, n = text_words(data, off)
         if at + len(part) > len(ids):
-            ids.resize((max(at + len(part), len(ids) * 3 // 2), ids.shape[1]), refcheck=False)
+            ids.resize((max(at + len(part), len(ids) * 5 // 4), ids.shape[1]), refcheck=False)
         ids[at : at + len(part)] = part
         at += len(part)
         counts.append(n)
@@ -259,12 +258,13 @@ def _sample_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
-def train(texts: list[str], label: np.ndarray, lang: list[str]) -> Cnn:
-    """Fits on three rows of four; the thresholds of the languages are set on the fourth."""
-    order = sorted(range(len(texts)), key=lambda k: k % 4 != 0)  # the fourth first, so that parts are views
-    texts[:] = [texts[k] for k in order]
-    ids, counts = _sample_words(texts)
-    label, lang = label[order], [lang[k] for k in order]
+def train(sample: pa.Table) -> Cnn:
+    """sample: text, label, lang. Fits on three rows of four; the thresholds of the languages are set on the fourth."""
+    nth = np.arange(sample.num_rows)
+    sample = sample.take(pa.array(np.argsort(nth % 4 != 0, kind="stable")))  # the fourth first, so that parts are views
+    label, lang = (sample.column("label").to_numpy() == 1).astype(np.int64), sample.column("lang").to_pylist()
+    ids, counts = _sample_words(sample.column("text"))
+    del sample
     names = sorted(set(lang))
     code = np.array([names.index(x) for x in lang], np.int64)
     fold = -(-len(label) // 4)
@@ -297,13 +297,12 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str) -> tuple[list[str], np.ndarray, list[str]]:
-    """A bounded sample of the labelled rows that are not held out: texts, labels, languages."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> pa.Table:
+    """A bounded sample of the labelled rows that are not held out: text, label, lang."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("label is not null").groupBy("id").agg(F.max("label").alias("label"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
     rows = rows.where(~held_out("id") & (F.octet_length("text") > 0))
-    picked = bounded_sample(rows, 1, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOW, known)
-    return [r["text"] for r in picked], np.array([r["label"] == 1 for r in picked], np.int64), [r["lang"] for r in picked]
+    return bounded_sample(rows, 1, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_WINDOW, known).select(["text", "label", "lang"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", model: Cnn | None = None) -> DataFrame:
@@ -314,11 +313,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     empty table gives an empty result. Columns but the named ones are not read.
     """
     if model is None:
-        model = train(*training_rows(docs, labels, id_col, text_col, lang_col, label_col))
+        model = train(training_rows(docs, labels, id_col, text_col, lang_col, label_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size: BUCKETS numbers and the sample's words
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32()), ("k_id", pa.int64()), ("k_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         tables = m.responses()
         for batch in batches:
@@ -333,10 +333,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score 0.5 or more, with all their columns; one pass over the texts, no join."""
-    model = train(*training_rows(docs, labels, "doc_id", "text", "lang", "toxic"))
+    model = train(training_rows(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m = shared.value
         tables = m.responses()
         for batch in batches:

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from ._common import held, row_key, table, text_slices
 
 #: Runs of text between white space whose encodings a worker keeps, and their characters; it starts anew beyond either.
-CACHE_RUNS = 700_000
+CACHE_RUNS = 500_000
 CACHE_CHARS = 12_000_000
 #: Pairs of tokens of which a worker keeps whether they merge.
-CACHE_PAIRS = 600_000
+CACHE_PAIRS = 400_000
 #: Bytes of text that are encoded together.
 STEP_BYTES = 1 << 20
 #: White space of the normaliser's and the splitter's \\s.

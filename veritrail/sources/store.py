@@ -6,6 +6,7 @@ beside the table, where no reader looks, and then takes the old one's place by r
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import re
@@ -23,6 +24,8 @@ RAW = (
 )
 
 
+_made: list[tuple[SparkSession, str]] = []
+
 #: Bytes of a table for each core up to which it is dealt out again.
 SPREAD_BYTES = 64 << 20
 
@@ -53,13 +56,27 @@ def spread(df: DataFrame, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share; what it holds goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'veritrail-shared')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made)
+    _made.append((spark, path))
+    return path
+
+
+def _remove_made() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:
+            try:
+                fs, at = _fs(spark, path)
+                fs.delete(at, True)
+            except Exception:  # noqa: BLE001, S112  the JVM may be gone at exit; the folder is then left
+                continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

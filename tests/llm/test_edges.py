@@ -2,11 +2,13 @@
 arithmetic by hand; real held-out labels."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from reference_models import AWKWARD, crc, generated, simhash, substring, suffix
 from test_dedup import frame
 
@@ -72,6 +74,22 @@ def test_bpe_cache_starts_anew(monkeypatch):
     assert sum(got, []) == large.coded(texts) and len(small.ids_of) < len(large.ids_of)
 
 
+def test_bpe_words_known_as_runs():
+    """Words of letters skip the splitter and words met as runs are not encoded again; both are as the library has them."""
+    from tokenizers import Tokenizer
+
+    vocabulary = bpe.default_vocabulary()
+    library, mine = Tokenizer.from_file(vocabulary), bpe.TrieBpe(vocabulary)
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) != "Cn"]
+    assert [c for c in known if c.isalpha() != bool(regex.match(r"\p{L}", c))] == []
+    encoded = []
+    plain = mine.encode_words
+    mine.encode_words = lambda words: encoded.append(sorted(words)) or plain(words)
+    texts = ["antidisestablishment señor o'clock", "antidisestablishment, señor. o'clock! '' x_ 's 4- ''s", "antidisestablishment() (señor) don't.", "", "´´ <|endoftext|>, ."]
+    assert [[int(x) for x in mine.coded([t])[0]] for t in texts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum("antidisestablishment" in words for words in encoded) == 1
+
+
 def test_shards_and_mix(spark):
     rows = AWKWARD + long_rows()
     found = sharding.shard_documents(frame(spark, rows), shards=5).collect()

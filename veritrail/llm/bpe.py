@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -78,10 +80,10 @@ class TrieBpe:
         self.ids: dict[str, int] = model["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        # a word's inner tokens, and those that end it without their mark
-        self.inner = {t: t for t in self.ids if not t.endswith(self.mark)}
+        # a word's inner tokens, and those that end it without their mark; in inner, what only begins a token has an empty one
+        inner = {t: t for t in self.ids if not t.endswith(self.mark)}
         self.final = {t[: -len(self.mark)]: t for t in self.ids if t.endswith(self.mark)}
-        self.longest = max(map(len, self.ids))
+        self.inner = {t[:k]: "" for t in chain(inner, self.final) for k in range(1, len(t) + 1)} | inner
         self.letters = _byte_letters()
         self.special = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.blank = regex.compile(f"[{_WS}]+")
@@ -96,7 +98,7 @@ class TrieBpe:
         self.library = None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.wholes: dict[str, bool] = {}  # one entry for each token at most
-        self.ids_of: dict[str, str] = {}
+        self.ids_of: dict[str, tuple[str, ...]] = {}
         self.by_id = {str(i): t for t, i in (self.ids | self.added).items()}
         self.id_text = {t: str(i) for t, i in self.ids.items()}
         self.again: set[str] = set()
@@ -113,13 +115,16 @@ class TrieBpe:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the first of the pairs with the lowest rank merges, until none is left."""
-        s = list(symbols)
-        while len(s) > 1:
-            best = min((self.rank.get(p, len(self.rank)), k) for k, p in enumerate(zip(s, s[1:], strict=False)))
-            if best[0] == len(self.rank):
-                break
-            k = best[1]
+        s, rank, none = list(symbols), self.rank.get, len(self.rank)
+        ranks = [rank(p, none) for p in zip(s, s[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
             s[k : k + 2] = [s[k] + s[k + 1]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((s[k - 1], s[k]), none)
+            if k < len(ranks):
+                ranks[k] = rank((s[k], s[k + 1]), none)
         return s
 
     def may_follow(self, left: str, right: str) -> bool:
@@ -140,24 +145,28 @@ class TrieBpe:
             known = self.wholes[token] = self.merged(self._symbols(token)) == [token]
         return known
 
-    def encode_words(self, words: list[str]) -> dict[str, list[str]]:
-        """Tokens of each word, written in byte letters. Depth first over the words' trie; states[d] is the last token of
-        the prefix of d symbols, and where that token starts."""
-        inner, final, pairs, longest = self.inner, self.final, self.pairs, self.longest
-        out: dict[str, list[str]] = {}
-        before, states = "", [("", 0)]
-        for word in sorted(set(words)):
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[str, ...]]:
+        """Ids, in decimal, of each word, written in byte letters. Depth first over the words' trie; states[d] is the last
+        token of the prefix of d symbols, where that token starts, and the first place from which the rest of the prefix
+        begins a token: no token of a longer prefix starts before it."""
+        inner, final, pairs, wholes, id_text = self.inner, self.final, self.pairs, self.wholes, self.id_text
+        out: dict[str, tuple[str, ...]] = {}
+        before, states = "", [("", 0, 0)]
+        for word in sorted(words):
             n, shared = len(word), 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 shared += 1
             del states[min(shared, n - 1) + 1 :]
+            low = states[-1][2]
             for depth in range(len(states), n + 1):
                 last = depth == n  # the last symbol carries the mark
-                for start in range(depth - longest if depth > longest else 0, depth):
+                for start in range(low, depth):
                     token = final.get(word[start:depth]) if last else inner.get(word[start:depth])
-                    if token is None:
+                    if not token:
+                        if start == low and token is None:
+                            low += 1
                         continue
                     if start:
                         left = states[start][0]
@@ -165,19 +174,21 @@ class TrieBpe:
                         if fits is None:
                             fits = self.may_follow(left, token)
                     else:
-                        fits = depth == 1 or self.whole(token)
+                        fits = depth == 1 or wholes.get(token)
+                        if fits is None:
+                            fits = self.whole(token)
                     if fits:
                         break
                 else:
                     raise ValueError(f"no token ends {word[:depth]!r}")
                 if not last:
-                    states.append((token, start))
-            tokens = [token]
+                    states.append((token, start, low))
+            tokens = [id_text[token]]
             while start:
-                token, start = states[start]
-                tokens.append(token)
+                token, start, _ = states[start]
+                tokens.append(id_text[token])
             tokens.reverse()
-            out[word] = tokens
+            out[word] = tuple(tokens)
             before = word
         return out
 
@@ -228,22 +239,35 @@ class TrieBpe:
             self.chars, self.again = sum(map(len, keep)), set()
         self.again.update(r for r in runs if r in ids)
         self.chars += size
-        words = {r: [r[len(_WORD) :]] if r.startswith(_WORD) else self.split.findall(r) for r in new if not r.startswith(_ADDED)}
-        plain = {w: w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters) for found in words.values() for w in found}
-        known, id_text = self.encode_words(list(plain.values())), self.id_text.__getitem__
+        words = {r: self._words(r) for r in new if not r.isalpha()}
+        missing = {w for found in words.values() for w in found if w not in ids}  # a word by itself is a run, too
+        missing.update(r for r in new if r not in words)
+        plain = {w: w.encode().decode("latin-1").translate(self.letters) for w in missing if not (w.isascii() and w.isprintable())}
+        known = self.encode_words({plain.get(w, w) for w in missing})
+        ids_of_word = {w: known[plain.get(w, w)] for w in missing}
         for r in new:
-            if r in words:
-                found = known[plain[words[r][0]]] if len(words[r]) == 1 else [t for w in words[r] for t in known[plain[w]]]
-                ids[r] = " ".join(map(id_text, found))
+            if r.startswith(_ADDED):
+                ids[r] = (str(self.added[r[len(_ADDED) :]]),)
+            elif r not in words:
+                ids[r] = ids_of_word[r]
             else:
-                ids[r] = str(self.added[r[len(_ADDED) :]])
+                ids[r] = tuple(x for w in words[r] for x in ids_of_word.get(w) or ids[w])
+
+    def _words(self, run: str) -> list[str]:
+        """The words of a run that is no added token; of letters followed by one ASCII mark it's plain without a search."""
+        if run.startswith(_WORD):
+            return [run[len(_WORD) :]]
+        if run.startswith(_ADDED):
+            return []
+        if run and run[-1] in string.punctuation and run[:-1].isalpha():
+            return [run[:-1], run[-1]]
+        return self.split.findall(run)
 
     def coded(self, texts: list[str]) -> list[list[str]]:
         """The ids of each text, in decimal."""
         found = [self.runs(t) if t else [] for t in texts]
         self.learn(set().union(*found))
-        # a run without words (white space only) has none
-        return [" ".join(filter(None, map(self.ids_of.__getitem__, runs))).split() for runs in found]
+        return [list(chain.from_iterable(map(self.ids_of.__getitem__, runs))) for runs in found]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.coded([text])[0]]

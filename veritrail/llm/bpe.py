@@ -205,16 +205,16 @@ class TrieBpe:
                 out.append(_ADDED + m[0])
                 at = m.end()
             return out + self._plain(text[at:])
-        if self.controls.search(text):
-            return self._plain(text)
-        return text.lower().split() if text.isascii() else self._plain(text)
+        return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
             if self.beyond.search(text) and self.newer.search(text):
                 return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one: no final sigma
-        return self.blank.sub(" ", text).lower().split(" ")
+        if self.controls.search(text):
+            return self.blank.sub(" ", text).lower().split(" ")
+        return text.lower().split()  # the same white space, as there are no controls
 
     def _by_library(self, text: str) -> list[str]:
         """The words as the library's normaliser and splitter find them."""
@@ -228,16 +228,17 @@ class TrieBpe:
     def learn(self, runs: set[str]) -> None:
         """Encodes the runs that aren't known yet: all their distinct words in one traversal."""
         ids = self.ids_of
-        new = [r for r in runs if r not in ids]
+        met = runs & ids.keys()
+        new = runs - met
         size = sum(map(len, new))
         if len(ids) + len(new) > CACHE_RUNS or self.chars + size > CACHE_CHARS:
             # what was met in several steps stays, unless that is too much as well
-            keep = (self.again & ids.keys()) | (runs & ids.keys())
+            keep = (self.again & ids.keys()) | met
             if 2 * len(keep) > CACHE_RUNS or 2 * sum(map(len, keep)) > CACHE_CHARS:
-                keep = runs & ids.keys()
+                keep = met
             self.ids_of = ids = {r: ids[r] for r in keep}
             self.chars, self.again = sum(map(len, keep)), set()
-        self.again.update(r for r in runs if r in ids)
+        self.again |= met
         self.chars += size
         words = {r: self._words(r) for r in new if not r.isalpha()}
         missing = {w for found in words.values() for w in found if w not in ids}  # a word by itself is a run, too
@@ -246,12 +247,12 @@ class TrieBpe:
         known = self.encode_words({plain.get(w, w) for w in missing})
         ids_of_word = {w: known[plain.get(w, w)] for w in missing}
         for r in new:
-            if r.startswith(_ADDED):
-                ids[r] = (str(self.added[r[len(_ADDED) :]]),)
-            elif r not in words:
+            if r not in words:
                 ids[r] = ids_of_word[r]
+            elif r.startswith(_ADDED):
+                ids[r] = (str(self.added[r[len(_ADDED) :]]),)
             else:
-                ids[r] = tuple(x for w in words[r] for x in ids_of_word.get(w) or ids[w])
+                ids[r] = tuple(chain.from_iterable([ids_of_word.get(w) or ids[w] for w in words[r]]))
 
     def _words(self, run: str) -> list[str]:
         """The words of a run that is no added token; of letters followed by one ASCII mark it's plain without a search."""

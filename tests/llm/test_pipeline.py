@@ -1,6 +1,7 @@
 """The pipeline's stages, each on what its predecessor wrote, against plain versions where these exist; run() against the
 stages. What toxicity drops, mixing takes and encoding gives is tested with the operators."""
 
+import os
 import shutil
 from collections import Counter
 
@@ -41,3 +42,13 @@ def test_stages_and_run(spark, tiny, tmp_path):
     words = encode_documents(spark.createDataFrame(list(seen["mixing"]), "doc_id long, text string"), default_vocabulary()).collect()
     assert {(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in last} == {(r.doc_id, r.ids_sha256, r.decoded_sha256) for r in words}
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(map(tuple, last))
+
+
+def test_tables_between_steps_have_no_checksum_files(spark):
+    """Each such file costs a process that counts the JVM's memory as its own while it starts."""
+    rows = spark.range(100).selectExpr("id", "id % 3 AS part")
+    for by in (None, "part"):
+        t = materialize(rows, "test-plain", by)
+        files = [f for _, _, names in os.walk(t._veritrail_path.removeprefix("file://")) for f in names]
+        assert any(f.endswith(".parquet") for f in files) and not any(f.endswith(".crc") for f in files)
+        assert sorted(map(tuple, t.select("id", "part").collect())) == [(i, i % 3) for i in range(100)]

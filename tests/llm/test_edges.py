@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from reference_models import AWKWARD, crc, generated, simhash, substring, suffix
@@ -90,6 +91,16 @@ def test_bpe_words_known_as_runs():
     assert sum("antidisestablishment" in words for words in encoded) == 1
 
 
+def test_bpe_gives_memory_back(monkeypatch):
+    """After each batch, so that a worker does not keep the size of its largest ones."""
+    calls = []
+    monkeypatch.setattr(bpe, "give_back", lambda: calls.append(1), raising=False)
+    texts = [t for _, t in generated(6, 7)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": texts, "k_id": list(range(6)), "k_hash": [0] * 6})
+    out = list(bpe._encode(bpe.default_vocabulary(), False)(iter([batch, batch.slice(0, 2)])))
+    assert [b.num_rows for b in out] == [6, 2] and len(calls) == 2
+
+
 def test_shards_and_mix(spark):
     rows = AWKWARD + long_rows()
     found = sharding.shard_documents(frame(spark, rows), shards=5).collect()

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held, row_key, table, text_slices
+from ._common import give_back, held, row_key, table, text_slices
 
 #: Runs of text between white space whose encodings a worker keeps, and their characters; it starts anew beyond either.
 CACHE_RUNS = 500_000
@@ -302,6 +302,7 @@ def _encode(path: str, full: bool):
                     cols += [pa.array([list(map(int, x)) for x in ids], pa.list_(pa.int32())), pa.array(tokens)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in ("doc_id", "k_id", "k_hash")] + cols, names=["doc_id", "k_id", "k_hash", *names])
+            give_back()
 
     return run
 

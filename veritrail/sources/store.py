@@ -48,11 +48,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def spread(df: DataFrame, path: str) -> DataFrame:
     """df, a table at path, over all cores. Files of one row group are read by one task each; a table that leaves each
-    core at most SPREAD_BYTES is dealt out again, a larger one has files enough."""
+    core at most SPREAD_BYTES is dealt out again, and a larger one if one of its tasks has over 1.5 times a core's share."""
     spark = df.sparkSession
     fs, at = _fs(spark, path)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if fs.getContentSummary(at).getLength() <= cores * SPREAD_BYTES else df
+    size = fs.getContentSummary(at).getLength()
+    if size > cores * SPREAD_BYTES:
+        most, rows = df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()  # reads footers only
+        if (most or 0) * cores <= 1.5 * (rows or 0):
+            return df
+    return df.repartition(cores * max(1, -(-size // (cores * SPREAD_BYTES))))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -1,10 +1,13 @@
 import math
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from veritrail.functions import text as T
+from veritrail.operators import answers
 from veritrail.operators import retrieval as R
+from veritrail.plans import catalogue
 from veritrail.sources import store
 
 
@@ -55,3 +58,32 @@ def test_large_table_in_one_file_is_spread(spark, tmp_path, monkeypatch):
     spark.range(4000).repartition(40).write.parquet(path + "2")
     many = spark.read.parquet(path + "2")
     assert store.spread(many, path + "2") is many
+
+
+@pytest.mark.parametrize("name", ["rerank_topk", "context_dedup", "context_budget"])
+def test_few_fused_rows_meet_the_documents_unshuffled(spark, tiny, name):
+    """With documents too large to broadcast, as in a larger input: the few rows are, and the search runs once."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "150k")
+    try:
+        plan = catalogue.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    found = [x for x in ("SortMergeJoin", "MapInPandas", "MapInArrow") if x in plan]
+    assert not found and "BroadcastHashJoin" in plan
+
+
+def test_contexts_of_answers_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    labelled = spark.createDataFrame([(1, 1, 7, "a"), (1, 2, 8, "b")], "question_id long, label_no long, id long, block string")
+    labelled = labelled.mapInPandas(counted, labelled.schema)
+    asked = spark.createDataFrame([(1, "x"), (2, "y")], "question_id long, question string")
+    got = {r.question_id: r for r in answers.ask(asked, labelled, lambda: lambda prompt: "so [Source 2]").collect()}
+    assert got[1].verified and got[1].source_map == {"Source 1": 7, "Source 2": 8} and got[2].answer == answers.NOTHING_FOUND
+    assert made.value == 2

@@ -66,6 +66,7 @@ def ask(questions: DataFrame, labelled: DataFrame, make_client: Callable[[], Cli
     rows = questions.select("question_id", "question").join(contexts(labelled), "question_id", "left")
     none = F.array().cast("array<struct<role:string,content:string>>")
     rows = rows.join(history.select("question_id", "history"), "question_id", "left").withColumn("history", F.coalesce("history", none)) if history is not None else rows.withColumn("history", none)
+    rows = written(rows, "contexts")  # the prompts and the answers' checks read them
     found = rows.where("context is not null").select("question_id", prompt(F.col("question"), F.col("context"), F.col("history"), mode).alias("prompt"))
     got = written(complete(found, make_client, "question_id").select("question_id", "raw", "error"), "replies")
     rows = rows.join(got, "question_id", "left").withColumn("answer", F.when(F.col("context").isNull(), NOTHING_FOUND).otherwise(F.col("raw")))

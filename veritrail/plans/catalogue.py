@@ -128,7 +128,8 @@ _RERANK = _HYBRID + f""",
 def _top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 reranked documents of each question, with their texts."""
     d = _t(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    met = _hybrid(spark, sf_dir).drop("score").join(d, "doc_id").join(_questions(spark, sf_dir), "question_id")
+    fused = store.written(_hybrid(spark, sf_dir).drop("score"), "fused")  # of known size: whole texts are not shuffled to meet few rows
+    met = fused.join(d, "doc_id").join(_questions(spark, sf_dir), "question_id")
     top = R.rerank(met, 8, R.token_overlap(F.col("question"), F.coalesce("text", F.lit(""))))
     return top.select("question_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("pair_score").alias("score"), "text", "source", "lang")
 
@@ -166,7 +167,7 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT question_id, label_no, doc_id, concat('[Source ', label_no, ']', chr(10), 'Video: ', source, ' | Channel: ', lang, ' | Timestamp: 0:00', chr(10), chr(10), text) AS block
       FROM lab JOIN documents USING (doc_id))) WHERE label_no = 1 OR upto <= 1500""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _deduplicated(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    rows = store.written(_deduplicated(spark, sf_dir), "deduplicated").join(_t(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
     return R.within_budget(rows, answers.source_block(F.col("label_no"), F.col("source"), F.col("lang"), F.lit("0:00"), F.col("text"))).select("question_id", "label_no", "doc_id", "upto", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
 
 
